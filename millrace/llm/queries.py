@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, embed_dedup, line_dedup, near_dedup, packing, quality, sharding, substring_dedup
+from . import chat, decontaminate, embed_dedup, line_dedup, lm_score, near_dedup, packing, quality, sharding, substring_dedup
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(spark, table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.similar_embeddings(spark, table(spark, sf_dir, "embeddings"))
 
@@ -77,6 +81,7 @@ def queries() -> dict:
         "op3_chat_formatting": op3_chat_formatting,
         "op4_decontamination": op4_decontamination,
         "op5_substring_dedup": op5_substring_dedup,
+        "op6_lm_scoring": op6_lm_scoring,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_line_dedup": op8_line_dedup,
         "op9_quality_classifier": op9_quality_classifier,
