@@ -33,7 +33,7 @@ class Cuckoo:
     SLOTS, KICKS = 4, 64
 
     def __init__(self, capacity: int):
-        self.n = 1 << max(2, int(np.ceil(np.log2(max(1, capacity) / (self.SLOTS * 0.84)))))
+        self.n = 1 << max(2, int(np.ceil(np.log2(max(1, capacity) / (self.SLOTS * 0.6)))))
         self.table = np.zeros((self.n, self.SLOTS), np.uint16)
         self.over: set[int] = set()
 
@@ -57,13 +57,16 @@ class Cuckoo:
         """Add distinct keys: in bulk where a bucket has room, by kicking where it has none."""
         tag, a, b = self._of(keys)
         left = np.arange(len(keys))
+        winner = np.empty(self.n, np.int64)
         for at in (a, b):
             for slot in range(self.SLOTS):
                 free = left[self.table[at[left], slot] == 0]
-                _, one = np.unique(at[free], return_index=True)
-                put = free[one]
+                winner[at[free]] = free  # of keys that want one place the last is put there
+                put = free[winner[at[free]] == free]
                 self.table[at[put], slot] = tag[put]
-                left = np.setdiff1d(left, put, assume_unique=True)
+                done = np.zeros(len(keys), bool)
+                done[put] = True
+                left = left[~done[left]]
         for i in left.tolist():
             self._kick(int(keys[i]), tag[i], int(a[i]))
 
