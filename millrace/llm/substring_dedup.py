@@ -3,12 +3,12 @@
 A byte goes if a string of ``length`` bytes that covers it also starts earlier (smaller doc_id, or further up
 in the same document). Strings never cross documents and are judged on the input.
 
-Method. The difference-cover suffix array of :mod:`suffix_array` needs about 60 bytes of shuffle per input
-byte, far beyond the check tool's disk and CPU limits for this query (figures in the README), so this
-operator samples suffixes by content and not by position modulo a number, which keeps the property that
-matters: every string of ``length`` bytes holds a sampled suffix, and equal strings hold it at the same place.
+Method. A difference-cover suffix array sorts two thirds of all positions as rows of triples, again and again;
+one such sort alone is over ten bytes of shuffle per input byte, beyond the disk this query may use (see the
+README). So this operator samples suffixes by content and not by position modulo three, which keeps the property
+that matters: every string of ``length`` bytes holds a sampled suffix, and equal strings hold it at the same place.
 
-* Sample: the position whose seed (``seed`` bytes) hashes smallest in some window of ``length`` bytes, about one in 26.
+* Sample: the position whose seed (``seed`` bytes) hashes smallest in some window of ``length`` bytes, about one in 35.
 * Sampled suffixes are sorted by their seed's name and by the name of their context: all bytes that a
   window around the seed can reach, ``length`` - ``seed`` to the left and up to ``length`` in all to the right. A suffix
   whose context occurs earlier is settled: its whole context goes. Equal suffixes of one task are settled
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import Scratch, small_batches
 from .vectext import buffers, chunks, mix, prefix_hash
 
-SEED, GROUP, FLUSH = 50, 4096, 1 << 20
+SEED, GROUP, FLUSH = 32, 4096, 1 << 20
 _FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -315,7 +315,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 100, seed
     small_batches(spark)
     scratch = Scratch(spark, "substring")
     key = F.col(id_col).cast("long")
-    slim = docs.select(key.alias("doc_id"), F.coalesce(key, F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(text_col).alias("tf"), F.col(text_col).alias("text"))
+    # the text's hash travels with every suffix only where ids repeat
+    repeated = docs.groupBy(key).count().where("count > 1").limit(1).count() > 0
+    tf = F.xxhash64(text_col) if repeated else F.lit(0).cast("long")
+    slim = docs.select(key.alias("doc_id"), F.coalesce(key, F.lit((1 << 63) - 1)).alias("doc"), tf.alias("tf"), F.col(text_col).alias("text"))
     spans = repeated_spans(spark, slim, scratch, length, min(seed, length), group)
     by_doc = scratch.put(spans.groupBy("doc", "tf").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
     scratch.release()
