@@ -211,7 +211,7 @@ def near_duplicates(
     sizes = clusters.groupBy("label").agg(F.count("*").alias("m"))
     members = clusters.join(sizes, "label").select(F.col("node").alias("sid"), F.col("label").alias("cluster"), F.ceil(F.col("m") / block).cast("int").alias("nb"))
     wanted = scratch.put(members.join(sets.select("sid", "doc_id", "tf"), "sid"), "wanted")
-    texts = slim.select("doc_id", "tf", "text").join(wanted, F.expr("1 = 1") & slim.doc_id.eqNullSafe(wanted.doc_id) & (slim.tf == wanted.tf)).select("sid", "cluster", "nb", "text")
+    texts = slim.select("doc_id", "tf", "text").join(wanted.hint("merge"), slim.doc_id.eqNullSafe(wanted.doc_id) & (slim.tf == wanted.tf)).select("sid", "cluster", "nb", "text")
     shipped = texts.mapInArrow(_sets(words), "sid long, cluster long, nb int, shingles binary")
     at = F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int")
     jobs = shipped.withColumn("own", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
