@@ -4,15 +4,16 @@ Each document is scored by bigrams counted over all *other* documents: own count
 text that only this document holds backs off instead of vouching for itself.
 
 * n-grams: every document yields each distinct bigram with its count (vectorised, one row per bigram).
-* Count tables: one row per distinct bigram or word, partitioned by hash; sums are made per task first.
+* Count tables: one row per distinct bigram or word, partitioned by hash; sums are made per chunk of text and
+  per task first. A bigram that occurs once in all texts needs no row.
 * Scores: the exploded bigrams meet their counts by a join on the hash. A bigram seen elsewhere contributes
   log(c(a b) / c(a)); else log(backoff * c(b) / N); a word seen nowhere else counts as ``unseen`` occurrences.
   Sums per document give the mean.
 
 The hash space is worked through in ``slices`` passes, each with its own shuffles that are released before
-the next, so the disk needed at a time is a fraction of all bigrams. Joins are on hashes that adaptive
-execution can split. Words are runs without ASCII white space, A-Z in lower case; every document starts with
-a boundary word.
+the next, so the disk needed at a time is a fraction of all bigrams; one more pass counts the bigrams of
+``together`` slices. Joins are on hashes that adaptive execution can split. Words are runs without ASCII white
+space, A-Z in lower case; every document starts with a boundary word.
 
 Defined cases: null and word-free texts have no tokens and a null score; rows that repeat an id with equal text
 are one document to the model (their counts are taken off together) and have the same score; an empty table
@@ -31,6 +32,19 @@ from .vectext import WHITE, chunks, mix, word_hashes
 BOUNDARY = np.uint64(0x5DEECE66D1234567)
 
 
+def _follow(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For words by place: the word before each, the bigram's hash, and whether the word is its document's first."""
+    first = np.concatenate(([True], row[1:] != row[:-1]))
+    a = np.concatenate(([BOUNDARY], h[:-1]))
+    a[first] = BOUNDARY
+    g = mix(a * np.uint64(0xA24BAED4963EE407) + (h ^ (h >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25))
+    return a, g, first
+
+
+def _slice(g: np.ndarray, slices: int) -> np.ndarray:
+    return (g >> np.uint64(40)) % np.uint64(slices)
+
+
 def _bigrams(slices: int, part: int):
     """Rows (id, tf, g, a, b, n, na, nb) of one slice: a bigram's hash, its words, and how often the document has each."""
 
@@ -41,22 +55,20 @@ def _bigrams(slices: int, part: int):
                 h, row = word_hashes(data, offsets, WHITE)
                 if not len(h):
                     continue
-                # per (row, word) counts, looked up by position
-                order = np.lexsort((h, row))
-                sh, sr = h[order], row[order]
-                new = np.concatenate(([True], (sh[1:] != sh[:-1]) | (sr[1:] != sr[:-1])))
+                a, g, first = _follow(h, row)
+                mine = np.flatnonzero(_slice(g, slices) == part)
+                if not len(mine):
+                    continue
+                # per (row, word) counts, looked up by position; one 64-bit key stands for row and word
+                key = h + mix(row.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+                order = np.argsort(key)
+                sk = key[order]
+                new = np.concatenate(([True], sk[1:] != sk[:-1]))
                 group = np.cumsum(new) - 1
                 own = np.empty(len(h), np.int64)
                 own[order] = np.bincount(group)[group]
-                first = np.concatenate(([True], row[1:] != row[:-1]))
-                a = np.concatenate(([BOUNDARY], h[:-1]))
-                a[first] = BOUNDARY
                 na = np.concatenate(([1], own[:-1]))
                 na[first] = 1
-                g = mix(a * np.uint64(0xA24BAED4963EE407) + (h ^ (h >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25))
-                mine = np.flatnonzero((g >> np.uint64(40)) % np.uint64(slices) == part)
-                if not len(mine):
-                    continue
                 g, a, b, na, nb, r = g[mine], a[mine], h[mine], na[mine], own[mine], row[mine]
                 order = np.lexsort((g, r))
                 g, a, b, na, nb, r = (x[order] for x in (g, a, b, na, nb, r))
@@ -81,7 +93,28 @@ def _words(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.append(w, BOUNDARY).view(np.int64)), pa.array(np.append(n, docs))], names=["w", "c"])
 
 
-def lm_scores(spark: SparkSession, docs: DataFrame, backoff: float = 0.4, unseen: float = 0.5, slices: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _pairs(slices: int, first: int, end: int):
+    """Rows (g, c, s) of a chunk's bigrams in slices ``first`` to ``end`` - 1, summed over its documents, and their slice."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, data, offsets in chunks(batch.column("text"), 8 << 20):
+                h, row = word_hashes(data, offsets, WHITE)
+                if not len(h):
+                    continue
+                g = _follow(h, row)[1]
+                of = _slice(g, slices)
+                g = np.sort(g[(of >= first) & (of < end)])
+                if not len(g):
+                    continue
+                at = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+                n = np.diff(np.concatenate((at, [len(g)])))
+                yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(n), pa.array(_slice(g[at], slices).astype(np.int32))], names=["g", "c", "s"])
+
+    return run
+
+
+def lm_scores(spark: SparkSession, docs: DataFrame, backoff: float = 0.4, unseen: float = 0.5, slices: int = 8, together: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_seen, score): tokens, tokens whose bigram another document has, and the mean log score."""
     small_batches(spark)
     scratch = Scratch(spark, "lm")
@@ -93,14 +126,18 @@ def lm_scores(spark: SparkSession, docs: DataFrame, backoff: float = 0.4, unseen
     repeated = copies.limit(1).count() > 0
     parts = []
     for k in range(slices):
+        if k % together == 0:
+            counted = once.mapInArrow(_pairs(slices, k, k + together), "g long, c long, s int").groupBy("g", "s").agg(F.sum("c").alias("cg")).where("cg > 1")
+            pairs = scratch.put(counted, "pairs", ["s"])
+            del counted
+            scratch.release()
         rows = once.mapInArrow(_bigrams(slices, k), "doc_id long, tf long, g long, a long, b long, n int, na int, nb int")
         if repeated:
             c = copies.select(F.col("doc_id").alias("d"), F.col("tf").alias("t"), "copies")
             rows = rows.join(c, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tf") == F.col("t")), "left").withColumn("m", F.coalesce("copies", F.lit(1))).drop("d", "t", "copies")
         else:
             rows = rows.withColumn("m", F.lit(1))
-        counts = rows.groupBy("g").agg(F.sum("n").alias("cg"))
-        met = rows.join(counts.where("cg > 1"), "g", "left").withColumn("others", F.coalesce("cg", F.lit(0)) - F.col("n") * F.col("m"))
+        met = rows.join(pairs.where(F.col("s") == k).select("g", "cg"), "g", "left").withColumn("others", F.coalesce("cg", F.lit(0)) - F.col("n") * F.col("m"))
         seen = F.col("others") > 0
         asked = met.select("doc_id", "tf", "n", "m", seen.alias("seen"), "others", F.when(seen, F.col("a")).otherwise(F.col("b")).alias("w"), F.when(seen, F.col("na")).otherwise(F.col("nb")).alias("own"))
         known = asked.join(words, "w")

@@ -217,6 +217,8 @@ def test_lm_scores(spark):
     # the second of "a b d" follows an a seen 4 times elsewhere, always before b; d is seen nowhere else
     start, ab, d = np.log(2 / 3), np.log(4 / 4), np.log(0.4 * 0.5 / 14)
     assert abs(out[2]["score"] - (start + ab + d) / 3) < 1e-9
+    other = {r["doc_id"]: r for r in lm_score.lm_scores(spark, docs(spark, rows), slices=3, together=2).collect()}
+    assert all(other[i]["n_seen"] == r["n_seen"] and (r["score"] is None or abs(other[i]["score"] - r["score"]) < 1e-9) for i, r in out.items())
 
 
 def test_components(spark):
