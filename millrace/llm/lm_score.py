@@ -10,10 +10,11 @@ text that only this document holds backs off instead of vouching for itself.
   log(c(a b) / c(a)); else log(backoff * c(b) / N); a word seen nowhere else counts as ``unseen`` occurrences.
   Sums per document give the mean.
 
-The hash space is worked through in ``slices`` passes, each with its own shuffles that are released before
-the next, so the disk needed at a time is a fraction of all bigrams; one more pass counts the bigrams of
-``together`` slices. Joins are on hashes that adaptive execution can split. Words are runs without ASCII white
-space, A-Z in lower case; every document starts with a boundary word.
+Work goes in passes, each with its own shuffles that are released before the next, so the disk needed at a
+time is a fraction of all bigrams: documents are scored in ``slices`` parts, each document's bigrams formed once, and
+bigrams are counted by hash in a pass for every ``together`` of that number. Joins are on
+hashes, with the count table, one row a key, as the side that is held by partition. A bigram's hash and its second word give the first word back, so the rows that travel hold two hashes. Words are
+runs without ASCII white space, A-Z in lower case; every document starts with a boundary word.
 
 Defined cases: null and word-free texts have no tokens and a null score; rows that repeat an id with equal text
 are one document to the model (their counts are taken off together) and have the same score; an empty table
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import Scratch, small_batches
 from .vectext import WHITE, chunks, mix, word_hashes
@@ -32,55 +33,41 @@ from .vectext import WHITE, chunks, mix, word_hashes
 BOUNDARY = np.uint64(0x5DEECE66D1234567)
 
 
-def _follow(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For words by place: the word before each, the bigram's hash, and whether the word is its document's first."""
+def _follow(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For words by place: the bigram's hash with the word before, and whether the word is its document's first."""
     first = np.concatenate(([True], row[1:] != row[:-1]))
     a = np.concatenate(([BOUNDARY], h[:-1]))
     a[first] = BOUNDARY
-    g = mix(a * np.uint64(0xA24BAED4963EE407) + (h ^ (h >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25))
-    return a, g, first
+    return ((a << np.uint64(1)) | (a >> np.uint64(63))) ^ h, first
 
 
-def _slice(g: np.ndarray, slices: int) -> np.ndarray:
-    return (g >> np.uint64(40)) % np.uint64(slices)
+def _first_word(g: Column, b: Column) -> Column:
+    """The first word's hash, from the bigram's and the second word's."""
+    x = g.bitwiseXOR(b)
+    return F.shiftrightunsigned(x, 1).bitwiseOR(F.shiftleft(x, 63))
 
 
-def _bigrams(slices: int, part: int):
-    """Rows (id, tf, g, a, b, n, na, nb) of one slice: a bigram's hash, its words, and how often the document has each."""
-
-    def run(batches):
-        for batch in batches:
-            ids, tf = batch.column("doc_id"), batch.column("tf")
-            for i, j, data, offsets in chunks(batch.column("text")):
-                h, row = word_hashes(data, offsets, WHITE)
-                if not len(h):
-                    continue
-                a, g, first = _follow(h, row)
-                mine = np.flatnonzero(_slice(g, slices) == part)
-                if not len(mine):
-                    continue
-                # per (row, word) counts, looked up by position; one 64-bit key stands for row and word
-                key = h + mix(row.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-                order = np.argsort(key)
-                sk = key[order]
-                new = np.concatenate(([True], sk[1:] != sk[:-1]))
-                group = np.cumsum(new) - 1
-                own = np.empty(len(h), np.int64)
-                own[order] = np.bincount(group)[group]
-                na = np.concatenate(([1], own[:-1]))
-                na[first] = 1
-                g, a, b, na, nb, r = g[mine], a[mine], h[mine], na[mine], own[mine], row[mine]
-                order = np.lexsort((g, r))
-                g, a, b, na, nb, r = (x[order] for x in (g, a, b, na, nb, r))
-                at = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (r[1:] != r[:-1]))))
-                n = np.diff(np.concatenate((at, [len(g)])))
-                take = pa.array(i + r[at])
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(take), tf.take(take), *(pa.array(x[at].view(np.int64)) for x in (g, a, b)), *(pa.array(x.astype(np.int32)) for x in (n, na[at], nb[at]))],
-                    names=["doc_id", "tf", "g", "a", "b", "n", "na", "nb"],
-                )
-
-    return run
+def _bigrams(batches):
+    """Rows (id, tf, g, b, n, na, nb): a bigram's hash, its second word, and how often the document has it and its words."""
+    for batch in batches:
+        ids, tf = batch.column("doc_id"), batch.column("tf")
+        for i, _, data, offsets in chunks(batch.column("text")):
+            h, row = word_hashes(data, offsets, WHITE)
+            if not len(h):
+                continue
+            g, first = _follow(h, row)
+            # per (row, word) and (row, bigram) counts; one 64-bit key stands for row and word
+            salt = mix(row.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            _, word, count = np.unique(h + salt, return_inverse=True, return_counts=True)
+            own = count[word]
+            na = np.concatenate(([1], own[:-1]))
+            na[first] = 1
+            _, at, n = np.unique(g + salt, return_index=True, return_counts=True)
+            take = pa.array(i + row[at])
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(take), tf.take(take), *(pa.array(x[at].view(np.int64)) for x in (g, h)), *(pa.array(x.astype(np.int32)) for x in (n, na[at], own[at]))],
+                names=["doc_id", "tf", "g", "b", "n", "na", "nb"],
+            )
 
 
 def _words(batches):
@@ -93,8 +80,8 @@ def _words(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.append(w, BOUNDARY).view(np.int64)), pa.array(np.append(n, docs))], names=["w", "c"])
 
 
-def _pairs(slices: int, first: int, end: int):
-    """Rows (g, c, s) of a chunk's bigrams in slices ``first`` to ``end`` - 1, summed over its documents, and their slice."""
+def _pairs(passes: int, part: int):
+    """Rows (g, c) of a chunk's bigrams in one part of the hash space, summed over its documents."""
 
     def run(batches):
         for batch in batches:
@@ -102,57 +89,59 @@ def _pairs(slices: int, first: int, end: int):
                 h, row = word_hashes(data, offsets, WHITE)
                 if not len(h):
                     continue
-                g = _follow(h, row)[1]
-                of = _slice(g, slices)
-                g = np.sort(g[(of >= first) & (of < end)])
-                if not len(g):
-                    continue
-                at = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-                n = np.diff(np.concatenate((at, [len(g)])))
-                yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(n), pa.array(_slice(g[at], slices).astype(np.int32))], names=["g", "c", "s"])
+                g = _follow(h, row)[0]
+                g, n = np.unique(g[(g >> np.uint64(40)) % np.uint64(passes) == part], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], names=["g", "c"])
 
     return run
 
 
-def lm_scores(spark: SparkSession, docs: DataFrame, backoff: float = 0.4, unseen: float = 0.5, slices: int = 8, together: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(spark: SparkSession, docs: DataFrame, backoff: float = 0.4, unseen: float = 0.5, slices: int = 6, together: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_seen, score): tokens, tokens whose bigram another document has, and the mean log score."""
     small_batches(spark)
     scratch = Scratch(spark, "lm")
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tf"), F.col(text_col).alias("text"))
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
+    repeated = ids.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count() > 0
+    tf = F.xxhash64(text_col) if repeated else F.lit(0).cast("long")  # texts tell rows apart only where ids do not
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), tf.alias("tf"), F.col(text_col).alias("text"))
     once = slim.where("text is not null")
-    words = scratch.put(once.mapInArrow(_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "words")
+    words = scratch.put(once.select("text").mapInArrow(_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "words")
     total = words.where(F.col("w") != int(np.int64(BOUNDARY))).agg(F.sum("c")).first()[0] or 0
-    copies = scratch.put(slim.groupBy("doc_id", "tf").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
-    repeated = copies.limit(1).count() > 0
+    if repeated:
+        copies = scratch.put(slim.groupBy("doc_id", "tf").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    scratch.release()
+    passes = -(-slices // together)
+    for k in range(passes):
+        counted = once.select("text").mapInArrow(_pairs(passes, k), "g long, c long").groupBy("g").agg(F.sum("c").alias("cg")).where("cg > 1")
+        counted = scratch.put(counted, f"pairs{k}")
+        pairs = pairs.union(counted) if k else counted
+        scratch.release()
     parts = []
     for k in range(slices):
-        if k % together == 0:
-            counted = once.mapInArrow(_pairs(slices, k, k + together), "g long, c long, s int").groupBy("g", "s").agg(F.sum("c").alias("cg")).where("cg > 1")
-            pairs = scratch.put(counted, "pairs", ["s"])
-            del counted
-            scratch.release()
-        rows = once.mapInArrow(_bigrams(slices, k), "doc_id long, tf long, g long, a long, b long, n int, na int, nb int")
+        mine = once.where(F.pmod(F.xxhash64("doc_id", "tf"), F.lit(slices)) == k)
+        rows = mine.mapInArrow(_bigrams, "doc_id long, tf long, g long, b long, n int, na int, nb int")
         if repeated:
             c = copies.select(F.col("doc_id").alias("d"), F.col("tf").alias("t"), "copies")
             rows = rows.join(c, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tf") == F.col("t")), "left").withColumn("m", F.coalesce("copies", F.lit(1))).drop("d", "t", "copies")
         else:
             rows = rows.withColumn("m", F.lit(1))
-        met = rows.join(pairs.where(F.col("s") == k).select("g", "cg"), "g", "left").withColumn("others", F.coalesce("cg", F.lit(0)) - F.col("n") * F.col("m"))
+        met = rows.join(pairs.hint("shuffle_hash"), "g", "left").withColumn("others", F.coalesce("cg", F.lit(0)) - F.col("n") * F.col("m"))
         seen = F.col("others") > 0
-        asked = met.select("doc_id", "tf", "n", "m", seen.alias("seen"), "others", F.when(seen, F.col("a")).otherwise(F.col("b")).alias("w"), F.when(seen, F.col("na")).otherwise(F.col("nb")).alias("own"))
-        known = asked.join(words, "w")
+        asked = met.select("doc_id", "tf", "n", "m", "others", F.when(seen, _first_word(F.col("g"), F.col("b"))).otherwise(F.col("b")).alias("w"), F.when(seen, F.col("na")).otherwise(F.col("nb")).alias("own"))
+        known = asked.join(words.hint("shuffle_hash"), "w")
         rest = F.col("c") - F.col("own") * F.col("m")
-        each = F.when(F.col("seen"), F.log(F.col("others") / F.greatest(rest, F.col("others")))).otherwise(F.log(F.lit(backoff) * F.greatest(rest.cast("double"), F.lit(unseen)) / F.lit(float(max(total, 1)))))
-        sums = known.groupBy("doc_id", "tf").agg(F.sum(F.col("n") * each).alias("s"), F.sum("n").alias("t"), F.sum(F.when(F.col("seen"), F.col("n")).otherwise(0)).alias("v"))
+        each = F.when(seen, F.log(F.col("others") / F.greatest(rest, F.col("others")))).otherwise(F.log(F.lit(backoff) * F.greatest(rest.cast("double"), F.lit(unseen)) / F.lit(float(max(total, 1)))))
+        sums = known.groupBy("doc_id", "tf").agg(F.sum(F.col("n") * each).alias("s"), F.sum("n").alias("t"), F.sum(F.when(seen, F.col("n")).otherwise(0)).alias("v"))
         parts.append(scratch.put(sums, f"slice{k}"))
+        del mine, rows, met, asked, known, sums
         scratch.release()
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    by_doc = every.groupBy("doc_id", "tf").agg(F.sum("s").alias("s"), F.sum("t").alias("t"), F.sum("v").alias("v"))
+    by_doc = every
     if repeated:
         c = copies.select(F.col("doc_id").alias("d"), F.col("tf").alias("x"), "copies")
-        by_doc = by_doc.join(c, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tf") == F.col("x")), "left").withColumn("k", F.coalesce("copies", F.lit(1)))
+        by_doc = every.join(c, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tf") == F.col("x")), "left").withColumn("k", F.coalesce("copies", F.lit(1)))
         by_doc = by_doc.select("doc_id", "tf", F.col("s") / F.col("k"), (F.col("t") / F.col("k")).cast("long"), (F.col("v") / F.col("k")).cast("long")).toDF("doc_id", "tf", "s", "t", "v")
     at = by_doc.toDF("d", "x", "s", "t", "v")
     out = slim.select("doc_id", "tf").join(at, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("tf").eqNullSafe(F.col("x")), "left")
