@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -43,9 +44,14 @@ class Scratch:
         return out
 
     def release(self) -> None:
-        """Let Spark's cleaner remove the shuffle files of steps whose results are written."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        """Let Spark's cleaner remove the shuffle files of steps whose results are written.
+
+        Finished queries stay referenced until Spark's listeners and the gateway have let go, hence a second round.
+        """
+        for _ in range(2):
+            gc.collect()
+            time.sleep(0.7)
+            self.spark._jvm.System.gc()
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that no later step reads."""
