@@ -7,8 +7,10 @@ similarity and drops what cannot link, and whole sets confirm every link.
 * Documents with equal sets collapse to one first, so a group of exact copies costs one entry.
 * Of its sketch a document enters only the lists of its rarest values: if two sketches share at least
   ``floor`` of k values, they share one of the k - floor + 1 rarest. For sets of at most k shingles the
-  sketch is the set and ``floor`` follows from the threshold, so nothing is lost. For larger sets a
-  pair at the threshold shares fewer than ``floor`` values with probability under 1e-7.
+  sketch is the set and ``floor`` follows from the threshold: n shingles share at least n * percent / 100
+  with a linked set of at most k, and with a larger one, of at most 100 n / percent, all but the values that
+  its sketch cut off. For larger sets a pair at the threshold shares fewer than ``floor`` values with
+  probability under 1e-7.
 * A list of at most ``short`` documents yields its pairs. A longer one (a large group of near copies)
   yields only links to its first member: it just says which documents have to be compared.
 * Documents that are joined by candidates form a cluster; their whole sets meet in blocks of ``block``,
@@ -179,7 +181,8 @@ def near_duplicates(
     # lists of the rarest retained values; values of one document only fill places but make no list
     postings = sets.select("sid", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
     counts = postings.groupBy("value").agg(F.count("*").alias("cnt")).where("cnt > 1")
-    places = F.when(F.col("n") <= k, F.col("kept") - F.ceil(F.col("kept") * percent / 100) + 1).otherwise(k - floor + 1)
+    small = F.greatest(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1, F.floor(F.col("n") * 100 / percent) - k + 1)
+    places = F.when(F.col("n") <= k, small).otherwise(k - floor + 1)
     by_sid = Window.partitionBy("sid")
     prefix = (
         postings.join(counts, "value")

@@ -57,6 +57,17 @@ def test_near_duplicates(spark, corpus, words, percent, short, block):
     assert got == brute.near(corpus, words, percent)
 
 
+@pytest.mark.parametrize("percent,small,large", [(85, 32, 37), (80, 32, 39), (80, 32, 40)])
+def test_near_duplicates_across_sketch_size(spark, percent, small, large):
+    """A set the sketch holds whole links to one that it does not: no place is lost to values the larger sketch cut off."""
+    say = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n + 2))
+    rows = [(2 * i + k, say(i, n)) for i in range(40) for k, n in ((0, small), (1, large))]
+    got = as_dict(near_dedup.near_duplicates(spark, docs(spark, rows), 3, percent), "doc_id", "n_shingles", "component_id", "kept")
+    want = brute.near(rows, 3, percent)
+    assert sum(not v[2] for v in want.values()) == 40
+    assert got == want
+
+
 @pytest.mark.parametrize("group", [4096, 3])
 def test_repeated_substrings(spark, corpus, group):
     out = substring_dedup.remove_repeats(spark, docs(spark, corpus).repartition(5), group=group)
