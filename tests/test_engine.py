@@ -98,6 +98,15 @@ def test_stored_cube_merges_compacts_and_evolves(spark, tmp_path):
         cube.commit(remove=["chunks/none"])
 
 
+@here
+def test_stored_query_merges_two_loads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Q, "shared_path", lambda *_: str(tmp_path / "cube"))
+    assert oracle.compare(Q.QUERIES["cube_stored"](spark, SMALL), Q.ORACLE["cube_stored"], SMALL) is None
+    m = Manifest(spark, str(tmp_path / "cube"))
+    chunks = [[c for c in m.at(r).get("chunks", []) if c["aggregation"] == "by_type"] for r in range(1, m.latest()[0] + 1)]
+    assert [len(c) for c in chunks] == [1, 2, 1] and not {c["path"] for c in chunks[1]} & {c["path"] for c in chunks[2]}
+
+
 def test_report_parameters():
     q = parse_query({"attributes": "day,type", "measures": "n", "where": '["eq","type","x"]', "sort": "n:desc,day", "limit": "3", "reportType": "data_with_totals"})
     assert q.attributes == ("day", "type") and q.orderings == ("n desc", "day") and q.limit == 3 and q.where == P.eq("type", "x")
