@@ -165,23 +165,30 @@ class LineIndex:
 
     def seen(self, docs: DataFrame, min_chars: int = 10, **cols) -> DataFrame:
         """Lines of new documents whose key the index holds: the shard's filter first, the exact table for its hits."""
-        new = line_refs(docs, self.shards, min_chars, **cols)
+        maybe = self._asked(line_refs(docs, self.shards, min_chars, **cols), "doc_id").where("maybe").drop("maybe")
+        return maybe.join(self.refs.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
+
+    def _asked(self, rows: DataFrame, deal: str) -> DataFrame:
+        """``rows`` (shard, k1, ...) plus ``maybe``: false if the shard's filter has never seen the key."""
 
         def ask(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not right.num_rows or not left.num_rows:
-                return left.slice(0, 0)
-            c = Cuckoo.from_bytes(right.column("cuckoo")[0].as_py())
-            return left.filter(pa.array(c.holds(left.column("k1").to_numpy())))
+            held = np.zeros(left.num_rows, bool)
+            if right.num_rows and left.num_rows:
+                held = Cuckoo.from_bytes(right.column("cuckoo")[0].as_py()).holds(left.column("k1").to_numpy())
+            return left.append_column("maybe", pa.array(held, pa.bool_()))
 
-        salted = new.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int"))
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64(deal), F.lit(8)).cast("int"))
         filters = self.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
-        maybe = salted.groupBy("shard", "salt").cogroup(filters.groupBy("shard", "salt")).applyInArrow(ask, salted.schema).drop("salt")
-        return maybe.join(self.refs.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in salted.schema.fields) + ", maybe boolean"
+        return salted.groupBy("shard", "salt").cogroup(filters.groupBy("shard", "salt")).applyInArrow(ask, schema).drop("salt")
 
     def insert(self, docs: DataFrame, min_chars: int = 10, **cols) -> LineIndex:
+        """Add documents; a key the shard's filter has never seen is new, the exact table is read for the filter's hits."""
         new = line_refs(docs, self.shards, min_chars, **cols).groupBy("shard", "k1", "k2", "doc_id", "tf").agg(F.collect_list("line").alias("lines"))
         refs = self.scratch.put(self.refs.unionByName(new), "refs")
-        fresh = new.select("shard", "k1").distinct().join(self.refs.select("shard", "k1").distinct(), ["shard", "k1"], "left_anti")
+        asked = self.scratch.put(self._asked(new.select("shard", "k1").distinct(), "k1"), "asked")
+        missed = asked.where("maybe").drop("maybe").join(self.refs.select("shard", "k1"), ["shard", "k1"], "left_anti")
+        fresh = asked.where("not maybe").drop("maybe").unionByName(missed)
         return LineIndex(self.scratch, refs, self._changed(fresh, "insert"), self.shards)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:

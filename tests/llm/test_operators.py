@@ -96,6 +96,17 @@ def test_line_index_is_reversible(spark, corpus):
             assert line_dedup.Cuckoo.from_bytes(r["cuckoo"]).holds(keys[keys.shard == r["shard"]].k1.to_numpy()).all()
 
 
+def test_line_insert_asks_the_filters(spark, corpus):
+    a, b = docs(spark, corpus[:100]), docs(spark, corpus[100:])
+    one = line_dedup.LineIndex.create(spark, a, shards=4)
+    keys = lambda refs: refs.select("shard", "k1").distinct()
+    held = lambda index: index.filters.agg(F.sum("n_keys")).first()[0]
+    both = one.insert(b)
+    assert held(both) == keys(both.refs).count() < held(one) + keys(line_dedup.line_refs(b, 4)).count()
+    blank = line_dedup.LineIndex(one.scratch, one.refs, one.filters.limit(0), 4)  # filters that have seen nothing decide
+    assert held(blank.insert(b)) == keys(line_dedup.line_refs(b, 4)).count()
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(-(2**62), 2**62, 5000))
