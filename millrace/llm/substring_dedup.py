@@ -1,27 +1,28 @@
-"""Removal of repeated byte strings: sampled suffixes are sorted and named, contexts settle the rest.
+"""Removal of repeated byte strings: sampled suffixes are sorted and named, names are refined until each string is settled.
 
 A byte goes if a string of ``length`` bytes that covers it also starts earlier (smaller doc_id, or further up
 in the same document). Strings never cross documents and are judged on the input.
 
-Method. A difference-cover suffix array sorts two thirds of all positions as rows of triples, again and again;
-one such sort alone is over ten bytes of shuffle per input byte, beyond the disk this query may use (see the
-README). So this operator samples suffixes by content and not by position modulo three, which keeps the property
-that matters: every string of ``length`` bytes holds a sampled suffix, and equal strings hold it at the same place.
+Method. A difference-cover suffix array (:mod:`.difference_cover`) sorts two thirds of all positions as rows of
+triples, again and again; the README has its measured figures. This operator samples suffixes by content and
+not by position modulo three, which keeps the property that matters: every string of ``length`` bytes
+holds a sampled suffix, and equal strings hold it at the same place.
 
 * Sample: the position whose seed (``seed`` bytes) hashes smallest in some window of ``length`` bytes, about one in 35.
-* Sampled suffixes are sorted by their seed's name and by the name of their context: all bytes that a
-  window around the seed can reach, ``length`` - ``seed`` to the left and up to ``length`` in all to the right. A suffix
-  whose context occurs earlier is settled: its whole context goes. Equal suffixes of one task are settled
-  there before the sort, so a frequent passage costs each task one row.
-* Of seeds with several contexts the first of each context remain. Their bytes are fetched and every
-  window around the seed is named; a window that an earlier row has goes. Groups up to ``group`` contexts are
-  compared in memory, larger ones by one more sort of their windows.
+* A sampled suffix stands for the windows that start 0 to ``length - seed`` bytes before it, as far as its document
+  reaches. It is sorted by the name of its core (what all these windows share, at first the seed) and by the name
+  of its reach (all that they cover). A suffix whose reach occurs earlier is settled: its whole reach goes. One
+  whose core occurs once is settled too. Equal suffixes of one task are settled before the sort.
+* What is left, the first suffix of each reach of a core with several, is split into two halves of its windows,
+  named and sorted again; so after the logarithm of ``length - seed`` rounds every core is one window.
 
-Everything is sorted by Spark, which spills; Python holds an Arrow batch, a run of ``FLUSH`` suffixes or a
-group of ``group`` contexts. Names are 64-bit hashes of whole strings.
+There is one path for groups of every size. Everything is sorted by Spark, which spills; a core with more than
+``HOT`` suffixes is dealt out by reach, since all its firsts stay anyway. Python holds an Arrow batch or a run of
+``FLUSH`` suffixes. Names are 64-bit hashes of whole strings.
 
 Defined cases: null and empty texts have no bytes; a null doc_id sorts last; rows that repeat an id are taken
-in the order of a hash of their text, and equal rows count as one document; other columns are not read.
+in the order of a hash of their text, and equal rows count as one document; a very long text is sampled in
+overlapping parts; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,13 +31,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, small_batches
-from .vectext import buffers, chunks, mix, prefix_hash
+from .common import Scratch, in_batches, small
+from .vectext import buffers, chunks, eights, mix, ragged, slice_hash
 
-SEED, GROUP, FLUSH = 32, 4096, 1 << 20
+SEED, FLUSH, HOT, PART = 32, 1 << 18, 4096, 1 << 18
 _FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+KEYS = ["m", "c", "doc", "tf", "pos"]
+ROW = "m long, c long, doc long, tf long, pos int, lo int, size int, back int"
 
 
 def _slide(best, a: np.ndarray, width: int) -> np.ndarray:
@@ -49,14 +54,25 @@ def _slide(best, a: np.ndarray, width: int) -> np.ndarray:
     return best(a[: len(a) - rest], a[rest:]) if rest else a
 
 
+def _chances(data: np.ndarray, seed: int) -> np.ndarray:
+    """A number for the ``seed`` bytes from every place, to choose the smallest by."""
+    eight, n = eights(data), len(data) - seed + 1
+    h = np.zeros(n, np.uint64)
+    for k in sorted({*range(0, seed - 7, 8), max(0, seed - 8)}):
+        word = eight[k : k + n]
+        h += word if seed >= 8 else word & np.uint64((1 << (8 * seed)) - 1)
+        h *= _ODD
+        h ^= h >> np.uint64(32)
+    return h
+
+
 def sampled(data: np.ndarray, offsets: np.ndarray, length: int, seed: int):
-    """(position, row, seed name, context name, context start, context end) of the sampled suffixes."""
+    """(position, row, core name, reach name, reach start, reach end) of the sampled suffixes."""
     none = np.zeros(0, np.int64)
     n = len(data)
     if n < length:
         return none, none, none, none, none, none
-    sums, down = prefix_hash(data)
-    h = mix((sums[seed:] - sums[:-seed]) * down[: n - seed + 1])
+    h = _chances(data, seed)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     end = offsets[1:][row]
     at = np.arange(len(h))
@@ -70,57 +86,86 @@ def sampled(data: np.ndarray, offsets: np.ndarray, length: int, seed: int):
     pos = np.flatnonzero((most == h) & inside)
     r = row[pos]
     lo, hi = np.maximum(pos - (length - seed), offsets[r]), np.minimum(pos + length, offsets[r + 1])
-    context = mix(mix((sums[hi] - sums[lo]) * down[lo]) + (hi - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (pos - lo).astype(np.uint64))
-    return pos, r, h[pos].view(np.int64), context.view(np.int64), lo, hi
+    reach = mix(slice_hash(data, lo, hi) + (pos - lo).astype(np.uint64) * _ODD)
+    return pos, r, slice_hash(data, pos, pos + seed).view(np.int64), reach.view(np.int64), lo, hi
+
+
+def _sampled_parts(data: np.ndarray, offsets: np.ndarray, length: int, seed: int):
+    """:func:`sampled`; a long row in overlapping parts, where a sample depends on less than 2 * ``length`` bytes around it."""
+    if len(offsets) > 2 or len(data) <= 4 * PART:
+        yield sampled(data, offsets, length, seed)
+        return
+    for a in range(0, len(data), PART):
+        x = max(0, a - 2 * length)
+        part = data[x : a + PART + 2 * length]
+        pos, r, m, c, lo, hi = sampled(part, np.array([0, len(part)]), length, seed)
+        own = (pos + x >= a) & (pos + x < a + PART)
+        yield tuple(v[own] for v in (pos + x, r, m, c, lo + x, hi + x))
+
+
+def _first_of_reach(m, c, doc, tf, pos) -> tuple[np.ndarray, np.ndarray]:
+    """(order, whether a row repeats the core and the reach of the one before it in that order)."""
+    order = np.lexsort((pos, tf, doc, c, m))
+    m, c = m[order], c[order]
+    return order, np.concatenate(([False], (m[1:] == m[:-1]) & (c[1:] == c[:-1])))
+
+
+def _chance_core(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Settled rows travel with any core: one by chance spreads them."""
+    return mix((doc * 1_000_003 + pos).view(np.uint64)).view(np.int64)
 
 
 def _sample(length: int, seed: int):
-    """Rows (seed, context, doc, tf, pos, lo, hi); settled ones have lo >= 0 and a seed of chance."""
+    """Rows as in ROW; settled ones have lo >= 0."""
 
     def settle(parts):
         m, c, doc, tf, pos, lo, hi = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((pos, tf, doc, c, m))
+        order, again = _first_of_reach(m, c, doc, tf, pos)
         m, c, doc, tf, pos, lo, hi = (x[order] for x in (m, c, doc, tf, pos, lo, hi))
-        again = np.concatenate(([False], (m[1:] == m[:-1]) & (c[1:] == c[:-1])))
         gone = again & (hi - lo >= length)
-        keep = ~again
-        out = lambda s, seeds, low: pa.RecordBatch.from_arrays(
-            [pa.array(x) for x in (seeds, c[s], doc[s], tf[s], pos[s].astype(np.int32), low.astype(np.int32), (hi - lo)[s].astype(np.int32), (pos - lo)[s].astype(np.int32))],
-            names=["m", "c", "doc", "tf", "pos", "lo", "size", "back"],
-        )
-        yield out(keep, m[keep], np.full(int(keep.sum()), -1))
-        yield out(gone, mix((doc[gone] * 1_000_003 + pos[gone]).view(np.uint64)).view(np.int64), lo[gone])
+        for s, cores, low in ((~again, m[~again], np.full(int((~again).sum()), -1)), (gone, _chance_core(doc[gone], pos[gone]), lo[gone])):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (cores, c[s], doc[s], tf[s], pos[s].astype(np.int32), low.astype(np.int32), (hi - lo)[s].astype(np.int32), (pos - lo)[s].astype(np.int32))],
+                names=["m", "c", "doc", "tf", "pos", "lo", "size", "back"],
+            )
 
     def run(batches):
         parts, held = [], 0
         for b in batches:
             doc, tf = b.column("doc").to_numpy(), b.column("tf").to_numpy()
-            for i, _, data, offsets in chunks(b.column("text")):
-                pos, r, m, c, lo, hi = sampled(data, offsets, length, seed)
-                base = offsets[r] if len(r) else r
-                parts.append((m, c, doc[i + r], tf[i + r], pos - base, lo - base, hi - base))
-                held += len(m)
-                if held > FLUSH:
-                    yield from settle(parts)
-                    parts, held = [], 0
+            for i, _, data, offsets in chunks(b.column("text"), PART):
+                for pos, r, m, c, lo, hi in _sampled_parts(data, offsets, length, seed):
+                    base = offsets[r] if len(r) else r
+                    parts.append((m, c, doc[i + r], tf[i + r], pos - base, lo - base, hi - base))
+                    held += len(m)
+                    if held > FLUSH:
+                        yield from settle(parts)
+                        parts, held = [], 0
         if held:
             yield from settle(parts)
 
     return run
 
 
-def _settle_sorted(length: int):
-    """Over rows sorted by (m, c, doc, tf, pos): settled spans, and the first of each context of seeds with several."""
+def _settle_sorted(length: int, more: tuple[str, ...] = ()):
+    """Over rows sorted by KEYS: settled spans (lo, hi), and with lo = -1 the first of each reach of cores with several.
+
+    ``more`` columns travel with the latter; a true ``hot`` says that a core has several reaches, wherever they are."""
 
     def run(batches):
-        last = pending = None  # the row before; the seed's only context so far
+        last = pending = None  # the row before; the core's only reach so far
         many = False
+
+        def firsts(b: pa.RecordBatch) -> pa.RecordBatch:
+            none = pa.array(np.full(b.num_rows, -1, np.int32))
+            return pa.RecordBatch.from_arrays([b.column(n) for n in ("doc", "tf", "pos")] + [none, none] + [b.column(n) for n in more], names=["doc", "tf", "pos", "lo", "hi", *more])
+
         for b in batches:
-            cols = {n: b.column(n).to_numpy() for n in ("m", "c", "doc", "tf", "pos", "lo", "size", "back")}
             n = b.num_rows
             if not n:
                 continue
-            m, c, lo = cols["m"], cols["c"], cols["lo"]
+            m, c, lo = (b.column(x).to_numpy() for x in ("m", "c", "lo"))
+            size = b.column("size").to_numpy()
             settled = lo >= 0
             new_m, new_c = np.ones(n, bool), np.ones(n, bool)
             new_m[1:] = m[1:] != m[:-1]
@@ -129,34 +174,33 @@ def _settle_sorted(length: int):
                 new_m[0] = m[0] != last[0]
                 new_c[0] = new_m[0] or c[0] != last[1]
             first = np.flatnonzero(new_c & ~settled)
-            spans = settled | (~new_c & (cols["size"] >= length))
-            low = np.where(settled, lo, cols["pos"] - cols["back"])
-            # seeds with a second context: all its first rows, with the one that waits from the batch before
-            reps: list[tuple] = []
-            # a first row continues the seed before it unless a row that starts a seed lies between
+            spans = np.flatnonzero(settled | (~new_c & (size >= length)))
             starts = np.cumsum(new_m)[first]
             take = np.zeros(len(first), bool)
             if len(first):
-                same_next = np.concatenate((starts[1:] == starts[:-1], [False]))
-                same_prev = np.concatenate(([False], starts[1:] == starts[:-1]))
-                take = same_next | same_prev
-                head = (starts == 0).nonzero()[0]  # contexts of the seed that the batch before ended in
+                same = starts[1:] == starts[:-1]
+                take[:-1] |= same
+                take[1:] |= same
+                head = np.flatnonzero(starts == 0)  # reaches of the core that the batch before ended in
                 if len(head):
                     if not many and pending is not None:
-                        reps.append(pending)
+                        yield firsts(pending)
                     take[head] = True
-            picked = first[take]
-            out = {k: np.concatenate([np.array([r[i] for r in reps], v.dtype), v[picked], v[spans]]) for i, (k, v) in enumerate((k, cols[k]) for k in ("m", "doc", "tf", "pos"))}
-            k = len(reps) + len(picked)
-            out["lo"] = np.concatenate([np.full(k, -1), low[spans]]).astype(np.int32)
-            out["hi"] = np.concatenate([np.full(k, -1), (low + cols["size"])[spans]]).astype(np.int32)
-            yield pa.RecordBatch.from_pydict({n: pa.array(out[n]) for n in ("m", "doc", "tf", "pos", "lo", "hi")})
+                if "hot" in b.schema.names:
+                    take |= b.column("hot").to_numpy(zero_copy_only=False)[first]
+            yield firsts(b.take(pa.array(first[take])))
+            low = np.where(settled, lo, b.column("pos").to_numpy() - b.column("back").to_numpy())[spans].astype(np.int32)
+            gone = b.take(pa.array(spans))
+            yield pa.RecordBatch.from_arrays(
+                [gone.column(x) for x in ("doc", "tf", "pos")] + [pa.array(low), pa.array((low + size[spans]).astype(np.int32))] + [pa.nulls(len(spans), b.schema.field(x).type) for x in more],
+                names=["doc", "tf", "pos", "lo", "hi", *more],
+            )
             if len(first):
                 tail = starts == np.cumsum(new_m)[-1]
                 if tail.any():
-                    i = first[np.flatnonzero(tail)[-1]]
-                    many = bool(tail.sum() > 1 or (starts[tail][0] == 0))
-                    pending = (m[i], cols["doc"][i], cols["tf"][i], cols["pos"][i])
+                    i = int(np.flatnonzero(tail)[-1])
+                    many = bool(tail.sum() > 1 or starts[i] == 0 or take[i])
+                    pending = b.slice(int(first[i]), 1)
                 else:
                     many, pending = False, None
             elif new_m.any():
@@ -166,96 +210,64 @@ def _settle_sorted(length: int):
     return run
 
 
-def _contexts(length: int, seed: int):
+def _reaches(length: int, seed: int):
+    """The bytes that the first round's remaining suffixes reach, and their windows: 0 to length - seed."""
+
     def run(batches):
         for b in batches:
             data, offsets = buffers(b.column("text"))
-            m, doc, tf, pos, back, ctx = [], [], [], [], [], []
-            found, ids, tfs = b.column("found"), b.column("doc").to_pylist(), b.column("tf").to_pylist()
-            for i in range(b.num_rows):
-                text = data[offsets[i] : offsets[i + 1]].tobytes()
-                for x in found[i].as_py():
-                    p = x["pos"]
-                    lo = max(0, p - (length - seed))
-                    m.append(x["m"])
-                    doc.append(ids[i])
-                    tf.append(tfs[i])
-                    pos.append(p)
-                    back.append(p - lo)
-                    ctx.append(text[lo : p + length])
+            at = b.column("found")
+            n = np.diff(at.offsets.to_numpy())
+            pos = at.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            owner = np.repeat(np.arange(b.num_rows), n)
+            lo = np.maximum(pos - (length - seed), 0)
+            hi = np.minimum(pos + length, (offsets[1:] - offsets[:-1])[owner])
+            raw = data[ragged(offsets[owner] + lo, hi - lo)]
+            ends = pa.py_buffer(np.concatenate(([0], np.cumsum(hi - lo))).astype(np.int32))
+            reach = pa.Array.from_buffers(pa.binary(), len(pos), [None, ends, pa.py_buffer(raw)])
+            own = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(m, pa.int64()), pa.array(doc, pa.int64()), pa.array(tf, pa.int64()), pa.array(pos, pa.int32()), pa.array(back, pa.int32()), pa.array(ctx, pa.binary())],
-                names=["m", "doc", "tf", "pos", "back", "ctx"],
+                [b.column("doc").take(own), b.column("tf").take(own), pa.array(pos.astype(np.int32)), pa.array((pos - lo).astype(np.int32)), pa.array(np.zeros(len(pos), np.int32)), pa.array(np.full(len(pos), length - seed, np.int32)), reach],
+                names=["doc", "tf", "pos", "at", "first", "last", "ctx"],
             )
 
     return run
 
 
-def _names(back: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int, away: int) -> tuple[np.ndarray, np.ndarray]:
-    """(whether the row has it, its name) of the window that starts ``away`` bytes before each seed."""
-    start = offsets[:-1] + back - away
-    has = (back >= away) & (start + length <= offsets[1:])
-    sums, down = prefix_hash(data)
-    s = np.where(has, start, 0)
-    e = np.where(has, start + length, 0)
-    return has, mix((sums[e] - sums[s]) * down[s])
-
-
-def _windows(length: int, seed: int, group: int):
-    """Over contexts sorted by (m, doc, tf, pos): spans (doc, tf, lo, hi) of windows that an earlier row has."""
-
-    def solve(t: pa.Table):
-        m, doc, tf, pos, back = (t.column(n).to_numpy() for n in ("m", "doc", "tf", "pos", "back"))
-        data, offsets = buffers(t.column("ctx").combine_chunks())
-        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-        n = len(m)
-        lo, hi = np.full(n, 1 << 40), np.full(n, -1)
-        g = np.cumsum(np.concatenate(([True], m[1:] != m[:-1])))
-        for away in range(length - seed + 1):
-            has, name = _names(back, data, offsets, length, away)
-            at = np.flatnonzero(has)
-            order = at[np.lexsort((at, name[at], g[at]))]
-            again = np.flatnonzero((g[order[1:]] == g[order[:-1]]) & (name[order[1:]] == name[order[:-1]])) + 1
-            r = order[again]
-            lo[r] = np.minimum(lo[r], pos[r] - away)
-            hi[r] = np.maximum(hi[r], pos[r] - away + length)
-        s = hi > 0
-        return pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(tf[s]), pa.array(lo[s].astype(np.int32)), pa.array(hi[s].astype(np.int32))], names=["doc", "tf", "lo", "hi"])
+def _halve(length: int, seed: int):
+    """Rows as in ROW with (at, first, last, ctx) of each half of a suffix's windows ``first`` to ``last`` bytes before it."""
+    room = length - seed
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        rows = 0
         for b in batches:
             if not b.num_rows:
                 continue
-            held.append(b)
-            rows += b.num_rows
-            if rows >= group:
-                t = pa.Table.from_batches(held).combine_chunks()
-                m = t.column("m").to_numpy()
-                cut = int(np.searchsorted(np.cumsum(np.concatenate(([0], m[1:] != m[:-1]))), np.count_nonzero(m[1:] != m[:-1])))
-                if cut:
-                    yield solve(t.slice(0, cut))
-                    held, rows = t.slice(cut).to_batches(), t.num_rows - cut
-        if held:
-            yield solve(pa.Table.from_batches(held).combine_chunks())
-
-    return run
-
-
-def _explode_windows(length: int, seed: int):
-    def run(batches):
-        for b in batches:
-            back, pos = b.column("back").to_numpy(), b.column("pos").to_numpy()
             data, offsets = buffers(b.column("ctx"))
-            if not len(back):
-                continue
             data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-            for away in range(length - seed + 1):
-                has, name = _names(back, data, offsets, length, away)
-                keep = pa.array(has)
+            at, one, two, pos, doc, tf = (b.column(x).to_numpy().astype(np.int64) for x in ("at", "first", "last", "pos", "doc", "tf"))
+            right = np.diff(offsets) - at - seed  # bytes beyond the seed
+            middle = (one + two) // 2
+            for a, z in ((one, middle), (middle + 1, two)):
+                least, most = np.maximum(a, room - right), np.minimum(z, at)
+                own = np.flatnonzero((a <= z) & (least <= most))
+                if not len(own):
+                    continue
+                a, z, least, most = (x[own] for x in (a, z, least, most))
+                place = offsets[:-1][own] + at[own]
+                name = lambda x, y: slice_hash(data, place - x, place + seed + room - y)
+                m = mix(name(a, z) + (a * 1024 + z).astype(np.uint64) * _ODD).view(np.int64)
+                c = mix(name(most, least) + (least * 1024 + most).astype(np.uint64) * _ODD).view(np.int64)
+                order, again = _first_of_reach(m, c, doc[own], tf[own], pos[own])
+                low = np.full(len(own), -1)
+                low[order[again]] = (pos[own] - most)[order[again]]
+                m = np.where(low >= 0, _chance_core(doc[own], pos[own]), m)
+                rows = b.take(pa.array(own))
+                small_ = lambda x: pa.array(x.astype(np.int32))
+                empty = pa.scalar(b"", pa.binary())
+                ctx = pa.compute.if_else(pa.array(low >= 0), empty, rows.column("ctx"))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(name[has].view(np.int64)), b.column("doc").filter(keep), b.column("tf").filter(keep), pa.array((pos[has] - away).astype(np.int32))], names=["name", "doc", "tf", "start"]
+                    [pa.array(m), pa.array(c), rows.column("doc"), rows.column("tf"), rows.column("pos"), small_(low), small_(length + most - least), small_(most), rows.column("at"), small_(a), small_(z), ctx],
+                    names=["m", "c", "doc", "tf", "pos", "lo", "size", "back", "at", "first", "last", "ctx"],
                 )
 
     return run
@@ -264,63 +276,70 @@ def _explode_windows(length: int, seed: int):
 def _cut(batches):
     for b in batches:
         data, offsets = buffers(b.column("text"))
-        size, gone, runs, digest, kept = [], [], [], [], []
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
         spans = b.column("spans")
-        for i in range(b.num_rows):
-            raw = data[offsets[i] : offsets[i + 1]]
-            found = spans[i].as_py() or []
-            mask = np.zeros(len(raw) + 1, np.int32)
-            if found:
-                np.add.at(mask, [x["lo"] for x in found], 1)
-                np.add.at(mask, [x["hi"] for x in found], -1)
-            cover = np.cumsum(mask)[:-1] > 0
-            left = raw[~cover].tobytes()
-            size.append(len(raw))
-            gone.append(int(cover.sum()))
-            runs.append(int(np.count_nonzero(cover[1:] & ~cover[:-1])) + int(len(cover) > 0 and cover[0]))
-            digest.append(hashlib.sha256(left).hexdigest())
-            kept.append(left)
+        owner = np.repeat(np.arange(b.num_rows), np.diff(spans.offsets.to_numpy()))
+        flat = spans.flatten()
+        mask = np.zeros(len(data) + 1, np.int32)
+        np.add.at(mask, offsets[owner] + flat.field("lo").to_numpy(), 1)
+        np.add.at(mask, offsets[owner] + flat.field("hi").to_numpy(), -1)
+        cover = np.cumsum(mask)[:-1] > 0
+        starts = cover.copy()
+        starts[1:] &= ~cover[:-1]
+        edge = offsets[:-1][np.diff(offsets) > 0]
+        starts[edge] = cover[edge]
+        upto = lambda x: np.concatenate(([0], np.cumsum(x)))[offsets]
+        left = data[~cover]
+        ends = offsets - upto(cover)
+        kept = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(left)])
+        digest = [hashlib.sha256(left[x:y]).hexdigest() for x, y in zip(ends[:-1], ends[1:])]
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())],
+            [b.column("doc_id"), pa.array(np.diff(offsets)), pa.array(np.diff(upto(cover))), pa.array(np.diff(upto(starts))), pa.array(digest, pa.string()), kept],
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
         )
 
 
-def repeated_spans(spark: SparkSession, slim: DataFrame, scratch: Scratch, length: int, seed: int, group: int) -> DataFrame:
-    """(doc, tf, lo, hi): spans to remove, overlapping ones too."""
-    rows = "m long, c long, doc long, tf long, pos int, lo int, size int, back int"
-    suffixes = slim.where(F.octet_length("text") >= length).mapInArrow(_sample(length, seed), rows)
-    keys = ["m", "c", "doc", "tf", "pos"]
-    settled = suffixes.repartition("m").sortWithinPartitions(*keys).mapInArrow(_settle_sorted(length), "m long, doc long, tf long, pos int, lo int, hi int")
-    settled = scratch.put(settled, "settled")
-    scratch.release()
-    reps = settled.where("lo < 0").select("m", "doc", "tf", "pos").distinct()
-    by_doc = reps.groupBy("doc", "tf").agg(F.collect_list(F.struct("m", "pos")).alias("found"))
-    contexts = slim.select("doc", "tf", "text").join(by_doc, ["doc", "tf"]).mapInArrow(_contexts(length, seed), "m long, doc long, tf long, pos int, back int, ctx binary")
-    contexts = scratch.put(contexts, "contexts")
+def repeated_spans(slim: DataFrame, scratch: Scratch, length: int, seed: int, hot: int = HOT) -> list[DataFrame]:
+    """Tables (doc, tf, lo, hi) of spans to remove, overlapping ones too."""
+    suffixes = in_batches(slim.where(F.octet_length("text") >= length), _sample(length, seed), ROW)
+    sorted_ = suffixes.repartition("m").sortWithinPartitions(*KEYS)
+    done = scratch.put(in_batches(sorted_, _settle_sorted(length), "doc long, tf long, pos int, lo int, hi int", 100_000), "round0")
     scratch.release()
-    big = contexts.groupBy("m").agg(F.count("*").alias("n")).where(f"n > {group}").select("m")
-    big = scratch.put(big, "big")
-    ordered = ["m", "doc", "tf", "pos"]
-    few = contexts.join(big, "m", "left_anti").repartition("m").sortWithinPartitions(*ordered).mapInArrow(_windows(length, seed, 4 * group), "doc long, tf long, lo int, hi int")
-    many = contexts.join(big, "m", "left_semi").mapInArrow(_explode_windows(length, seed), "name long, doc long, tf long, start int")
-    first = many.groupBy("name").agg(F.min(F.struct("doc", "tf", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = many.join(first.select("name", "first"), "name").where(F.struct("doc", "tf", "start") > F.col("first"))
-    later = later.groupBy("doc", "tf", "start").agg(F.lit(1).alias("x")).select("doc", "tf", F.col("start").alias("lo"), (F.col("start") + length).cast("int").alias("hi"))
-    return settled.where("lo >= 0").select("doc", "tf", "lo", "hi").unionByName(few).unionByName(later)
-
-
-def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 100, seed: int = SEED, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    spans = [done.where("lo >= 0").select("doc", "tf", "lo", "hi")]
+    by_doc = done.where("lo < 0").groupBy("doc", "tf").agg(F.collect_list("pos").alias("found"))
+    more = "at int, first int, last int, ctx binary"
+    left = in_batches(slim.select("doc", "tf", "text").join(by_doc, ["doc", "tf"]), _reaches(length, seed), f"doc long, tf long, pos int, {more}")
+    for k in range(1, (length - seed).bit_length() + 1):
+        rows = scratch.put(in_batches(left, _halve(length, seed), f"{ROW}, {more}", 50_000), f"halves{k}")
+        cores = rows.groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") > hot).select(F.col("m").alias("m_"))
+        dealt = rows.join(small(scratch.put(cores, "hot"), 200_000), F.col("m") == F.col("m_"), "left")
+        dealt = dealt.withColumn("hot", F.col("m_").isNotNull()).drop("m_").withColumn("deal", F.when(F.col("hot"), F.col("c")))
+        dealt = dealt.repartition("m", "deal").sortWithinPartitions(*KEYS).drop("deal")
+        done = scratch.put(in_batches(dealt, _settle_sorted(length, ("at", "first", "last", "ctx")), f"doc long, tf long, pos int, lo int, hi int, {more}", 50_000), f"round{k}")
+        scratch.drop(rows)
+        spans.append(done.where("lo >= 0").select("doc", "tf", "lo", "hi"))
+        left = done.where("lo < 0").select("doc", "tf", "pos", "at", "first", "last", "ctx")
+        if k <= 2:  # later rounds are small
+            scratch.release()
+        if not left.limit(1).count():
+            break
+    return spans
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 100, seed: int = SEED, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): one row per row of ``docs``; ``kept`` holds the remaining bytes."""
-    small_batches(spark)
     scratch = Scratch(spark, "substring")
     key = F.col(id_col).cast("long")
     # the text's hash travels with every suffix only where ids repeat
     repeated = docs.groupBy(key).count().where("count > 1").limit(1).count() > 0
     tf = F.xxhash64(text_col) if repeated else F.lit(0).cast("long")
     slim = docs.select(key.alias("doc_id"), F.coalesce(key, F.lit((1 << 63) - 1)).alias("doc"), tf.alias("tf"), F.col(text_col).alias("text"))
-    spans = repeated_spans(spark, slim, scratch, length, min(seed, length), group)
-    by_doc = scratch.put(spans.groupBy("doc", "tf").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+    spans = repeated_spans(slim.dropDuplicates(["doc", "tf"]) if repeated else slim, scratch, length, min(seed, length), hot)
+    every = spans[0]
+    for s in spans[1:]:
+        every = every.unionByName(s)
+    by_doc = scratch.put(every.groupBy("doc", "tf").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
     scratch.release()
-    out = slim.join(by_doc, ["doc", "tf"], "left").select("doc_id", "text", "spans")
-    return out.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    none = F.array().cast("array<struct<lo:int,hi:int>>")
+    out = slim.join(by_doc, ["doc", "tf"], "left").select("doc_id", "text", F.coalesce("spans", none).alias("spans"))
+    return in_batches(out, _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -6,29 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
+import xxhash
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
-#: Words of letters and digits: every ASCII byte that is neither separates.
-NOT_ALNUM = np.ones(256, bool)
-NOT_ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x41, 0x5B), *range(0x80, 0x100)]] = False
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[0x41:0x5B] += 32
 
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse modulo 2**64 for i below n."""
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, 1 << 20)
-        for name, x in (("up", BASE), ("down", INVERSE)):
-            a = np.full(size, x, np.uint64)
-            a[0] = 1
-            _POWERS[name] = np.multiply.accumulate(a)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+CHUNK = 1 << 20
+#: Strings above this many bytes are hashed one by one.
+LONG = 256
+_KEY = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+_LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -41,6 +31,33 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every place as one number; beyond the end are zeros."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def slice_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each slice of ``data``, the same wherever the bytes stand.
+
+    Eight bytes at a time go through a finaliser, so that no relation between strings outlives a step (sums of
+    powers modulo 2**64 have equal values for simple families of strings); strings above LONG go through xxh3.
+    """
+    size = end - start
+    out = mix(size.astype(np.uint64) * _KEY + _STEP)
+    eight = eights(data)
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left, h = start[live], size[live], out[live]
+    while len(live):
+        h = mix((h ^ (eight[at] & _LOW[np.minimum(left, 8)])) * _STEP)
+        out[live] = h
+        more = left > 8
+        live, at, left, h = live[more], at[more] + 8, left[more] - 8, h[more]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
+    return out
+
+
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a text or binary column; null rows are empty."""
     if pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type):
@@ -54,7 +71,7 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def chunks(col: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(col: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) of runs of rows with about ``limit`` bytes, a row at least."""
     data, offsets = buffers(col)
     i, n = 0, len(offsets) - 1
@@ -64,12 +81,24 @@ def chunks(col: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.n
         i = j
 
 
-def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sums, inverse powers): the hash of bytes i to j is (sums[j] - sums[i]) * down[i]."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    return sums, down
+def stretches(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place, bytes, offsets) of stretches that end at a separator: a very long row is worked on in parts.
+
+    The rows keep their numbers; those outside a stretch are empty in it."""
+    a = 0
+    while a < len(data):
+        b = min(a + limit, len(data))
+        if b < len(data):
+            back = np.flatnonzero(separators[data[a:b]])
+            if len(back):
+                b = a + int(back[-1]) + 1
+            else:
+                ahead = b
+                while ahead < len(data) and not separators[data[ahead : ahead + limit]].any():
+                    ahead += limit
+                b = len(data) if ahead >= len(data) else ahead + int(np.argmax(separators[data[ahead : ahead + limit]]))
+        yield a, data[a:b], np.clip(offsets, a, b) - a
+        a = b
 
 
 def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, *cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,11 +124,14 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, *cut: n
     return start, np.flatnonzero(ends) + 1, np.searchsorted(offsets, start, "right") - 1
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, *cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash, row) of each word, ASCII letters in lower case."""
-    start, end, row = words(data, offsets, separators)
-    sums, down = prefix_hash(FOLD[data])
-    return mix((sums[end] - sums[start]) * down[start]), row
+    hashes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for _, part, bounds in stretches(data, offsets, separators, 2 * CHUNK):
+        start, end, row = words(part, bounds, separators, *cut)
+        hashes.append(slice_hash(FOLD[part], start, end))
+        rows.append(row)
+    return np.concatenate(hashes), np.concatenate(rows)
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -109,3 +141,28 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
+
+
+BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+_POWERS: dict[str, np.ndarray] = {}
+
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and its inverse modulo 2**64 for i below n."""
+    if "up" not in _POWERS or len(_POWERS["up"]) < n:
+        size = max(n, 1 << 20)
+        for name, x in (("up", BASE), ("down", INVERSE)):
+            a = np.full(size, x, np.uint64)
+            a[0] = 1
+            _POWERS[name] = np.multiply.accumulate(a)
+    return _POWERS["up"][:n], _POWERS["down"][:n]
+
+
+def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, inverse powers): the hash of bytes i to j is (sums[j] - sums[i]) * down[i]."""
+    up, down = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+    return sums, down
