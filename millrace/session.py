@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -38,6 +38,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Schemes of stores whose rename is one step and refuses an existing target. Object stores copy instead.
+ATOMIC = {"file", "hdfs", "viewfs", "abfs", "abfss", "ofs"}
+
+
+def listing(spark: SparkSession, root: str, glob: str = "*", recursive: bool = True) -> DataFrame:
+    """(path, length, modificationTime) of files by a glob on their names; their content is not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(root)
+    return found.select("path", "length", "modificationTime")
+
+
 class Files:
     """The file operations that manifests need, on whatever store Spark reads."""
 
@@ -77,3 +87,36 @@ class Files:
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
+
+    def renames_atomically(self) -> bool:
+        return self._fs.getScheme() in ATOMIC
+
+    def read_range(self, name: str, offset: int = 0, limit: int | None = None) -> bytes:
+        """Bytes from ``offset``, at most ``limit`` of them."""
+        stream = self._fs.open(self._path(name))
+        try:
+            stream.seek(offset)
+            return bytes(stream.readAllBytes() if limit is None else stream.readNBytes(limit))
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """Write a file, over an old one if there is one."""
+        stream = self._fs.create(self._path(name), True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
+    def append(self, name: str, text: str) -> None:
+        """Add to a file's end; a store that cannot append gets the file anew."""
+        old = self.read(name) if self._fs.exists(self._path(name)) else ""
+        self.write(name, old + text)
+
+    def copy(self, source: str, target: str) -> None:
+        """A file or a folder with all below it."""
+        self._jvm.org.apache.hadoop.fs.FileUtil.copy(self._fs, self._path(source), self._fs, self._path(target), False, self._conf)
+
+    def copy_to(self, source: str, other: Files, target: str) -> None:
+        self._jvm.org.apache.hadoop.fs.FileUtil.copy(self._fs, self._path(source), other._fs, other._path(target), False, self._conf)
+
+    def move(self, source: str, target: str) -> bool:
+        return self._fs.rename(self._path(source), self._path(target))

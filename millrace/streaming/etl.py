@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import Files
+from ..session import ATOMIC, Files
+from ..sources import logs
 
 
 class Manifest:
-    """A state in numbered files, each created only if it does not exist: the first writer of a number wins."""
+    """A state in numbered files, each created only if it does not exist: the first writer of a number wins.
+
+    That takes a store whose rename refuses an existing target; others are refused."""
 
     def __init__(self, spark: SparkSession, root: str):
+        if ("://" in root and root.split("://")[0] not in ATOMIC) or not Files(spark, root).renames_atomically():
+            raise ValueError(f"{root}: renaming does not refuse an existing target on this store, so two writers could both win")
         self.files = Files(spark, f"{root}/manifest")
 
     def latest(self) -> tuple[int, dict]:
@@ -40,36 +46,78 @@ class Manifest:
 
 
 class LogLoader:
-    """Loads a log folder into named Parquet tables batch by batch.
+    """Loads a log folder into named Parquet tables step by step.
 
-    A batch is identified by its query and number. Its files go to a folder of that number, and one commit adds the folder
-    and the position; a batch that runs again after a failure overwrites its folder and commits once."""
+    The files of a step go to folders of their own, and one commit adds the folders and the position behind them, so a step
+    that fails leaves nothing and one that runs twice commits once. ``run`` reads the files that the committed position does
+    not hold, and needs no other state; ``stream`` leaves the reading to a stream with a checkpoint."""
 
     def __init__(self, spark: SparkSession, root: str, consumers: dict[str, Callable[[DataFrame], DataFrame]]):
         self.spark, self.root, self.consumers = spark, root.rstrip("/"), consumers
         self.manifest = Manifest(spark, self.root)
 
-    def consume(self, batch: DataFrame, batch_id: int, source: str = "log") -> None:
-        done = self.manifest.latest()[1].get("positions", {}).get(source, -1)
-        if batch_id <= done:
-            return
-        paths = {}
+    def _write(self, batch: DataFrame, step: str) -> dict[str, str]:
+        paths = {name: f"data/{name}/{step}" for name in self.consumers}
         for name, consumer in self.consumers.items():
-            paths[name] = f"data/{name}/{source}-{batch_id:010d}"
             consumer(batch).write.mode("overwrite").parquet(f"{self.root}/{paths[name]}")
+        return paths
+
+    def _commit(self, paths: dict[str, str], source: str, before, position) -> bool:
+        """Add the folders if the source's position is still ``before``; False if another loader moved it."""
+        won = True
 
         def add(state: dict) -> dict | None:
-            if state.get("positions", {}).get(source, -1) >= batch_id:
+            nonlocal won
+            won = state.get("positions", {}).get(source) == before
+            if not won:
                 return None
             for name, p in paths.items():
                 state.setdefault("chunks", {}).setdefault(name, []).append(p)
-            state.setdefault("positions", {})[source] = batch_id
+            state.setdefault("positions", {})[source] = position
             return state
 
         self.manifest.update(add)
+        return won
+
+    def position(self, source: str = "log"):
+        return self.manifest.latest()[1].get("positions", {}).get(source)
+
+    def run(self, path: str, source: str = "log", files_per_step: int | None = None, partition: str | None = None, **names: str) -> int:
+        """Process everything that is there now; call again for what came since. Returns the number of steps."""
+        steps = 0
+        while True:
+            before = self.position(source)
+            new, position = logs.new_files(self.spark, path, partition, before, None, files_per_step, **names)
+            if not new:
+                return steps
+            batch = logs.read_files(self.spark, path, new)
+            if self._commit(self._write(batch, f"{source}-{uuid.uuid4().hex}"), source, before, position):
+                steps += 1
+
+    def settle(self, before: str, source: str = "log") -> None:
+        """Close the log's hours before ``before``, so that positions stay small and old files may be deleted."""
+
+        def change(state: dict) -> dict:
+            state["positions"][source] = logs.settle(state["positions"][source], before)
+            return state
+
+        self.manifest.update(change)
 
-    def run(self, path: str, schema: str, source: str = "log", files_per_batch: int | None = None) -> None:
-        """Process everything that is there now, then stop; call again for what came since."""
+    def consume(self, batch: DataFrame, batch_id: int, source: str = "stream") -> None:
+        """One batch of a stream, known by its number: a number that was loaded is skipped, one that leaves a gap raises."""
+        done = self.position(source)
+        if done is not None and batch_id <= done:
+            return
+        if batch_id != (0 if done is None else done + 1):
+            raise RuntimeError(f"{source} is at batch {done}; {batch_id} does not continue it")
+        self._commit(self._write(batch, f"{source}-{batch_id:010d}"), source, done, batch_id)
+
+    def stream(self, path: str, schema: str, source: str = "stream", files_per_batch: int | None = None) -> None:
+        """As ``run``, by a stream. Batch numbers only mean something with the checkpoint they come from, so a source that was
+        loaded and has lost its checkpoint raises instead of taking new batches for old ones."""
+        at = Files(self.spark, f"{self.root}/checkpoint")
+        if self.position(source) is not None and "metadata" not in at.names(source):
+            raise RuntimeError(f"{source} was loaded up to batch {self.position(source)}, but its checkpoint is gone")
         reader = self.spark.readStream.schema(schema)
         if files_per_batch:
             reader = reader.option("maxFilesPerTrigger", files_per_batch)
