@@ -18,8 +18,6 @@ class Measure:
     build: Callable[[], Column]  # over input rows
     merge: Callable[[Column], Column]  # over stored values
     read: Callable[[Column], Column] = lambda c: c
-    zero: Column | None = None  # for rows of aggregations without the measure
-    kind: str = "sum"
 
 
 def sum_(name: str, source: str | None = None) -> Measure:
@@ -27,27 +25,27 @@ def sum_(name: str, source: str | None = None) -> Measure:
 
 
 def count_(name: str) -> Measure:
-    return Measure(name, lambda: F.count(F.lit(1)), lambda c: F.sum(c), lambda c: F.coalesce(c, F.lit(0)), kind="count")
+    return Measure(name, lambda: F.count(F.lit(1)), lambda c: F.sum(c), lambda c: F.coalesce(c, F.lit(0)))
 
 
 def min_(name: str, source: str | None = None) -> Measure:
-    return Measure(name, lambda: F.min(source or name), lambda c: F.min(c), kind="min")
+    return Measure(name, lambda: F.min(source or name), lambda c: F.min(c))
 
 
 def max_(name: str, source: str | None = None) -> Measure:
-    return Measure(name, lambda: F.max(source or name), lambda c: F.max(c), kind="max")
+    return Measure(name, lambda: F.max(source or name), lambda c: F.max(c))
 
 
 def distinct_count(name: str, source: str, log_registers: int = 10) -> Measure:
     """An approximate count of distinct values by a mergeable sketch."""
     return Measure(
-        name, lambda: F.hll_sketch_agg(F.col(source), F.lit(log_registers)), lambda c: F.hll_union_agg(c, F.lit(True)), lambda c: F.coalesce(F.hll_sketch_estimate(c), F.lit(0)), kind="sketch"
+        name, lambda: F.hll_sketch_agg(F.col(source), F.lit(log_registers)), lambda c: F.hll_union_agg(c, F.lit(True)), lambda c: F.coalesce(F.hll_sketch_estimate(c), F.lit(0))
     )
 
 
 def union_(name: str, source: str) -> Measure:
     """The set of values, sorted when read."""
-    return Measure(name, lambda: F.collect_set(source), lambda c: F.array_distinct(F.flatten(F.collect_list(c))), lambda c: F.array_sort(c), kind="set")
+    return Measure(name, lambda: F.collect_set(source), lambda c: F.array_distinct(F.flatten(F.collect_list(c))), lambda c: F.array_sort(c))
 
 
 def last(name: str, source: str, time: str, not_null: bool = False) -> Measure:
@@ -57,7 +55,7 @@ def last(name: str, source: str, time: str, not_null: bool = False) -> Measure:
     def build() -> Column:
         return F.max(F.when(F.col(source).isNotNull(), value) if not_null else value)
 
-    return Measure(name, build, lambda c: F.max(c), lambda c: c["value"], kind="last")
+    return Measure(name, build, lambda c: F.max(c), lambda c: c["value"])
 
 
 @dataclass(frozen=True)

@@ -27,6 +27,20 @@ class Dataset:
     def flat_map(self, array: Column, name: str) -> Dataset:
         return Dataset(self.df.withColumn(name, F.explode(array)))
 
+    def peek(self, consumer: Callable) -> Dataset:
+        """Show each pandas batch to ``consumer`` where it passes by; rows stay as they are."""
+
+        def run(batches):
+            for b in batches:
+                consumer(b)
+                yield b
+
+        return Dataset(self.df.mapInPandas(run, self.df.schema), self.sorted_by)
+
+    def lenient(self, *needed: str) -> Dataset:
+        """Without rows in which a needed column is null, as failed casts and torn records leave it."""
+        return Dataset(self.df.dropna("any", subset=list(needed) or None), self.sorted_by)
+
     def filter(self, p: Column) -> Dataset:
         return Dataset(self.df.where(F.coalesce(p, F.lit(False))), self.sorted_by)
 
@@ -119,11 +133,23 @@ class Dataset:
         return Dataset(joins.lookup_join(self.df, other.df, keys, by))
 
     def local_reduce(self, keys: list[str], fn: Callable, schema: str) -> Dataset:
-        """Reduce within each partition: ``fn`` maps a pandas batch of sorted rows to accumulators."""
+        """Reduce within each partition: ``fn`` maps grouped pandas rows, sorted by key, to accumulators. A key's rows come
+        together however many batches they fill; the worker holds a batch and one key's rows."""
+        import pandas as pd
 
         def run(batches):
+            held = None
             for b in batches:
-                yield fn(b.groupby(keys, sort=True, dropna=False))
+                if not len(b):
+                    continue
+                b = b if held is None else pd.concat([held, b], ignore_index=True)
+                ids = b.groupby(keys, sort=False, dropna=False).ngroup()
+                open_ = ids == ids.iloc[-1]
+                done, held = b[~open_], b[open_]
+                if len(done):
+                    yield fn(done.groupby(keys, sort=True, dropna=False))
+            if held is not None:
+                yield fn(held.groupby(keys, sort=True, dropna=False))
 
         return Dataset(self.df.sortWithinPartitions(*keys).mapInPandas(run, schema), keys)
 
@@ -151,6 +177,19 @@ class Dataset:
         w = w.option("maxRecordsPerFile", rows_per_file) if rows_per_file else w
         (w.partitionBy(*by) if by else w).parquet(path)
 
+    def drain(self) -> None:
+        """Run everything and keep nothing."""
+        self.df.write.format("noop").mode("overwrite").save()
+
+    def for_each(self, consumer: Callable[[Iterator[Row]], None], acknowledge: Callable[[], None] = lambda: None) -> None:
+        """Give each partition's rows to ``consumer`` on its executor; ``acknowledge`` is called once all have ended well."""
+        self.df.foreachPartition(consumer)
+        acknowledge()
+
+    def stream_reduce(self, keys: list[str], by: list[str], first: Callable, following: Callable, complete: Callable, schema: str) -> Dataset:
+        """A reducer that may emit any number of rows per group, see :func:`.reducers.stream_reduce`."""
+        return Dataset(reducers.stream_reduce(self.df, keys, by, first, following, complete, schema))
+
     def observe(self, name: str, **metrics: Column) -> Dataset:
         return Dataset(self.df.observe(name, *[c.alias(n) for n, c in metrics.items()]), self.sorted_by)
 

@@ -56,6 +56,18 @@ def merge_join(left: DataFrame, right: DataFrame, keys: list, combine: Callable[
     return combine(out) if combine else out
 
 
+def left_join(left: DataFrame, right: DataFrame, keys: list, matched: Callable[[str], Column], alone: Callable[[str], Column] | None = None) -> DataFrame:
+    """Per joined pair what ``matched`` makes of it, per left row without a partner what ``alone`` does; a null result is no row.
+
+    Both get the name of the joined struct's column, whose fields are the columns of :func:`equi_join`; without ``alone`` only
+    pairs give rows. The result is the column ``value``."""
+    mark = right.withColumn("__there", F.lit(True))
+    out = equi_join(left, mark, keys, "left" if alone else "inner", True)
+    row = out.select(F.struct(*[F.col(f"`{c}`") for c in out.columns if c != "__there"]).alias("row"), "__there")
+    value = F.when(F.col("__there"), matched("row")) if alone is None else F.when(F.col("__there"), matched("row")).otherwise(alone("row"))
+    return row.select(value.alias("value")).where("value is not null")
+
+
 def attribute_join(facts: DataFrame, dimension: DataFrame, keys: list, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Look attributes up; a miss leaves null. The dimension is broadcast if a count shows that it is small."""
     few = dimension.limit(rows + 1).count() <= rows
@@ -63,10 +75,20 @@ def attribute_join(facts: DataFrame, dimension: DataFrame, keys: list, rows: int
 
 
 def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: int) -> DataFrame:
-    """Rows of ``left`` whose ``point`` lies in [low, high] of a right row: intervals go to the buckets they touch."""
-    a = left.withColumn("__b", F.floor(F.col(point) / width))
-    b = right.withColumn("__b", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    return a.join(b, "__b").where(F.col(point).between(F.col(low), F.col(high))).drop("__b")
+    """Rows of ``left`` whose ``point`` lies in [low, high] of a right row.
+
+    Buckets come in levels, each twice as wide as the one below, from ``width`` on. An interval goes to the level where it is no wider
+    than a bucket, so it touches two at most however wide it is; a point looks once in each level that is in use, at most 64."""
+    span = F.greatest((F.col(high) - F.col(low)).cast("double"), F.lit(0.0))
+    level = F.greatest(F.ceil(F.log2((span + 1) / width)), F.lit(0)).cast("int")
+    size = lambda lv: F.lit(float(width)) * F.pow(F.lit(2.0), lv)
+    at = lambda c, lv: F.floor(F.col(c).cast("double") / size(lv)).cast("long")
+    b = right.where(F.col(low) <= F.col(high)).withColumn("__l", level)
+    b = b.withColumn("__b", F.explode(F.sequence(at(low, F.col("__l")), at(high, F.col("__l")))))
+    levels = [r["__l"] for r in b.select("__l").distinct().collect()]  # at most 64
+    a = left.withColumn("__l", F.explode(F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>")))
+    a = a.withColumn("__b", at(point, F.col("__l")))
+    return a.join(b, ["__l", "__b"]).where(F.col(point).between(F.col(low), F.col(high))).drop("__l", "__b")
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:

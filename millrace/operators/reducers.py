@@ -96,3 +96,36 @@ def python_reduce(df: DataFrame, keys: list[str], create: Callable[[], Any], acc
         return pd.DataFrame([(*(pdf[n].iloc[0] for n in names), produce(acc))], columns=[*names, "result"])
 
     return df.mapInPandas(partial, f"{types}, acc binary").groupBy(*keys).applyInPandas(final, f"{types}, result {out}")
+
+
+def fold(column: str, merge: Callable[[Column], Column]) -> Reducer:
+    """A fold of values of one type, where accumulators are values too."""
+    return Reducer(lambda: merge(F.col(column)), merge)
+
+
+def stream_reduce(df: DataFrame, keys: list[str], by: list[str], first: Callable[[Any], tuple[Any, list]], following: Callable[[Any, Any], tuple[Any, list]], complete: Callable[[Any], list], schema: str) -> DataFrame:
+    """A reducer over each group's rows in order of ``by`` that emits 0 to n rows at any time.
+
+    ``first(row)`` and ``following(accumulator, row)`` return the accumulator and rows to emit, ``complete(accumulator)`` the last rows.
+    Groups pass by in sorted partitions, so a worker holds an accumulator and a batch, whatever a group's size."""
+    columns = df.sparkSession.createDataFrame([], schema).columns
+
+    def run(batches):
+        at, acc, any_ = None, None, False
+        for b in batches:
+            out = []
+            for row in b.itertuples(index=False):
+                k = tuple(None if pd.isna(v := getattr(row, n)) else v for n in keys)
+                if any_ and k == at:
+                    acc, more = following(acc, row)
+                else:
+                    out += complete(acc) if any_ else []
+                    at, any_ = k, True
+                    acc, more = first(row)
+                out += more
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+        if any_ and (out := complete(acc)):
+            yield pd.DataFrame(out, columns=columns)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *by).mapInPandas(run, schema)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import Any
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.scalar import translate_names
@@ -14,12 +15,30 @@ _START = re.compile(r"\s*(?:--[^\n]*\n\s*)*(select|with|values|\()", re.IGNORECA
 _EXPLAIN = re.compile(r"\s*explain\s+(plan|graph|nodes)\s+for\s+|\s*explain\s+(plan|graph|nodes)\s+", re.IGNORECASE)
 
 
+_PLANS = "org.apache.spark.sql.catalyst.plans.logical."
+
+
 class SqlEngine:
     """Runs the read-only subset; what it lets through is planned by Catalyst."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
+    def register(self, name: str, fn: Callable, returns: str, batches: bool = True) -> SqlEngine:
+        """A scalar function of the user's for SQL text: on pandas series batch by batch, or value by value."""
+        self.spark.udf.register(name, (F.pandas_udf if batches else F.udf)(fn, returnType=returns))
+        return self
+
+    def _only_reads(self, sql: str) -> None:
+        """Commands and statements that write may hide behind WITH; the parsed plan shows them."""
+        todo = [self.spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
+        while todo:
+            node = todo.pop()
+            if any(is_instance_of(self.spark._sc._gateway, node, _PLANS + x) for x in ("Command", "ParsedStatement")):
+                raise ValueError(f"only SELECT, VALUES and UNION are accepted, not {node.nodeName()}")
+            children = node.children()
+            todo += [children.apply(i) for i in range(children.size())]
+
     def query(self, sql: str, params: Sequence[Any] | dict[str, Any] | None = None, max_rows: int | None = None) -> DataFrame:
         """``?`` and ``:name`` parameters stand for any operand, also in LIMIT and OFFSET."""
         m = _EXPLAIN.match(sql)
@@ -29,6 +48,7 @@ class SqlEngine:
         if not _START.match(sql):
             raise ValueError("only SELECT, VALUES and UNION are accepted")
         sql = translate_names(sql)
+        self._only_reads(sql)
         out = self.spark.sql(sql, args=list(params) if isinstance(params, (list, tuple)) else params) if params else self.spark.sql(sql)
         return out.limit(max_rows) if max_rows else out
 

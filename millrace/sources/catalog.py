@@ -16,7 +16,10 @@ class Catalog:
         self._tables: dict[str, Callable[[Column | None], DataFrame]] = {}
 
     def add(self, name: str, source: DataFrame | str | Iterable, schema: StructType | str | None = None) -> DataFrame:
-        """A DataFrame, a path of Parquet files, or rows with a schema."""
+        """A DataFrame, a path of Parquet files, rows with a schema (any iterable, also an iterator, which is read now), or a
+        function that returns one of these."""
+        if callable(source):
+            source = source()
         if isinstance(source, str):
             source = self.spark.read.parquet(source)
         elif not isinstance(source, DataFrame):
@@ -58,10 +61,29 @@ class Catalog:
         """A source that is handed the condition and may read less; the condition is applied again."""
         self._tables[name] = lambda p: supplier(p) if p is None else supplier(p).where(p)
 
+    def add_failing(self, name: str, message: str, schema: str) -> DataFrame:
+        """A table whose scan raises."""
+        fields = self.spark.createDataFrame([], schema).schema.fields
+        return self.add(name, self.spark.range(1).select(*[F.raise_error(F.lit(message)).cast(f.dataType).alias(f.name) for f in fields]))
+
+    def add_log(self, name: str, path: str, partition: str | None = None, since: str = "", until: str | None = None) -> DataFrame:
+        """A log folder as a table; its columns ``hour`` and ``part`` are folders, so conditions on them choose what is read."""
+        log = self.spark.read.option("ignoreCorruptFiles", "true").option("basePath", path).parquet(path)
+        keep = F.col("hour") >= since if since else F.lit(True)
+        keep = keep & (F.col("hour") <= until) if until is not None else keep
+        return self.add(name, log.where(keep if partition is None else keep & (F.col("part").cast("string") == partition)))
+
     def add_sorted(self, name: str, source: DataFrame, keys: list[str], declared: bool = False) -> DataFrame:
         """A table in order of its keys within hash partitions; ``declared`` trusts the source."""
         return self.add(name, source if declared else source.repartition(*keys).sortWithinPartitions(*keys))
 
+    def add_bucketed(self, name: str, source: DataFrame, keys: list[str], buckets: int, table: str | None = None) -> DataFrame:
+        """A table kept in the warehouse in buckets by its keys, sorted by them: joins and groups by the keys then read it
+        without a shuffle."""
+        table = table or f"{name}_bucketed"
+        source.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+        return self.add(name, self.spark.table(table))
+
     def add_partitions(self, name: str, part: Callable[[int, int], Iterable], partitions: int, schema: str) -> DataFrame:
         """Rows made on the executors: ``part(index, partitions)`` yields the tuples of one partition."""
         import pandas as pd
