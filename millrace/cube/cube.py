@@ -3,19 +3,27 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from datetime import date
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-
 from ..functions.predicates import Predicate, TRUE
-from ..operators.joins import attribute_join
+from ..operators.joins import attribute_join, first_per_key
+from ..session import Files
 from ..streaming.etl import Manifest
 from .structure import DATA_WITH_TOTALS, METADATA, Aggregation, Plan, Query, Structure, plan, prunes
 
 
+#: Types of dimensions whose bounds are kept.
+PLAIN = ("int", "long", "bigint", "string", "double", "date")
+
+
 @dataclass
 class Report:
     attributes: list[str]
@@ -75,17 +83,37 @@ class Cube:
         return [a.id for a in fits]
 
     def _write(self, a: Aggregation, frame: DataFrame) -> dict:
-        """A sorted run: rows in order of their keys, files of ``chunk_rows``; the manifest keeps key bounds and counts."""
+        """A sorted run: rows in order of their keys, files of ``chunk_rows``. The manifest keeps the run's key bounds and counts,
+        ``_bounds.json`` beside the files keeps each file's; both come from one pass over the keys."""
         name = f"chunks/{a.id}/{uuid.uuid4().hex}"
         path = f"{self.root}/{name}"
         frame.repartitionByRange(*a.dimensions).sortWithinPartitions(*a.dimensions).write.option("maxRecordsPerFile", a.chunk_rows).parquet(path)
-        back = self.spark.read.parquet(path)
-        plain = [d for d in a.dimensions if self.s.dimensions[d] in ("int", "long", "bigint", "string", "double", "date")]
-        agg = back.agg(F.count(F.lit(1)).alias("n"), *[f(d).cast("string" if self.s.dimensions[d] == "date" else self.s.dimensions[d]).alias(f"{w}_{d}") for d in plain for w, f in (("lo", F.min), ("hi", F.max))]).first()
-        keys = [d for d in plain if self.s.dimensions[d] != "date"]
-        nulls = back.select(*[F.max(F.col(d).isNull()).alias(d) for d in keys]).first() if keys else {}
-        keys = [d for d in keys if not nulls[d]]
-        return {"aggregation": a.id, "path": name, "measures": [m for m in a.measures], "rows": agg["n"], "low": {d: agg[f"lo_{d}"] for d in keys}, "high": {d: agg[f"hi_{d}"] for d in keys}}
+        keys = [d for d in a.dimensions if self.s.dimensions[d] in PLAIN]
+        text = lambda d: F.col(d).cast("string") if self.s.dimensions[d] == "date" else F.col(d)
+        sides = [x for d in keys for x in (F.min(text(d)).alias(f"lo_{d}"), F.max(text(d)).alias(f"hi_{d}"), (F.count(d) < F.count("*")).alias(f"no_{d}"))]
+        files = []
+        for r in self.spark.read.parquet(path).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"), *sides).collect():  # a row per file
+            files.append({"file": r["file"].rsplit("/", 1)[1], "rows": r["n"], "low": {d: r[f"lo_{d}"] for d in keys}, "high": {d: r[f"hi_{d}"] for d in keys}, "nulls": [d for d in keys if r[f"no_{d}"]]})
+        Files(self.spark, path).write("_bounds.json", json.dumps(files))
+        each = lambda f, side, d: f((x[side][d] for x in files if x[side][d] is not None), default=None)
+        return {
+            "aggregation": a.id, "path": name, "measures": list(a.measures), "rows": sum(x["rows"] for x in files),
+            "low": {d: each(min, "low", d) for d in keys}, "high": {d: each(max, "high", d) for d in keys}, "nulls": sorted({d for x in files for d in x["nulls"]}),
+        }
+
+    def _pruned(self, where: Predicate, x: dict) -> bool:
+        """Whether a run's or a file's bounds exclude ``where``."""
+        typed = lambda side: {d: date.fromisoformat(v) if v is not None and self.s.dimensions[d] == "date" else v for d, v in side.items()}
+        return x["rows"] == 0 or prunes(where, typed(x["low"]), typed(x["high"]), set(x.get("nulls", ())))
+
+    def files(self, aggregation: str, where: Predicate = TRUE) -> list[str]:
+        """The files that can hold rows of ``where``: of runs whose bounds allow it, those whose own bounds do."""
+        out = []
+        for c in self.chunks(aggregation):
+            if not self._pruned(where, c):
+                each = json.loads(Files(self.spark, f"{self.root}/{c['path']}").read("_bounds.json"))
+                out += [f"{self.root}/{c['path']}/{x['file']}" for x in each if not self._pruned(where, x)]
+        return out
 
     def commit(self, add: list[dict] = (), remove: list[str] = (), positions: dict | None = None) -> None:
         """One step from state to state; fails if a chunk to remove is gone, as another compaction was first."""
@@ -111,15 +139,17 @@ class Cube:
                 return self.spark.createDataFrame([], ", ".join(f"{d} {self.s.dimensions[d]}" for d in a.dimensions)).select("*", *[F.lit(None).alias(m) for m in a.measures])
             frame = self._frames[a.id]
         else:
-            paths = [f"{self.root}/{c['path']}" for c in self.chunks(a.id) if not prunes(where, c["low"], c["high"])]
-            if not paths:
-                paths = [f"{self.root}/{c['path']}" for c in self.chunks(a.id)][:1]
-                where = None
-            if not paths:
-                raise LookupError(f"aggregation {a.id} has no chunks")
+            paths = self.files(a.id, where)
+            if not paths:  # nothing can match: the columns of any chunk, without rows
+                every = [f"{self.root}/{c['path']}" for c in self.chunks(a.id)]
+                if not every:
+                    raise LookupError(f"aggregation {a.id} has no chunks")
+                return self._with(self.spark.read.option("mergeSchema", "true").parquet(*every).limit(0), columns)
             frame = self.spark.read.option("mergeSchema", "true").parquet(*paths)
-            if where is None:
-                frame = frame.where(F.lit(False))
+        return self._with(frame, columns)
+
+    @staticmethod
+    def _with(frame: DataFrame, columns: list[str]) -> DataFrame:
         for c in columns:  # chunks written before a measure was added
             if c not in frame.columns:
                 frame = frame.withColumn(c, F.lit(None))
@@ -144,7 +174,7 @@ class Cube:
         if q.report == DATA_WITH_TOTALS:  # over all groups, before HAVING
             total = merged.agg(*[self.s.measures[m].merge(F.col(m)).alias(m) for m in p.stored])
             report.totals = self._finish(total, [], measures)
-        out = self._attributes(finished, q.attributes)
+        out = self._attributes(finished, q.attributes, dict(p.constants))
         out = out.where(q.having.column()) if q.having != TRUE else out
         out = out.select(*[F.col(f"`{a}`") for a in q.attributes], *measures)
         if q.report == DATA_WITH_TOTALS:
@@ -163,11 +193,12 @@ class Cube:
     def _merged(self, p: Plan, dims: list[str]) -> DataFrame:
         parts = None
         for c in p.choices:
-            frame = self._frame(c.aggregation, p.where, [*dims, *c.measures])
+            frame = self._frame(c.aggregation, p.where, [*p.dimensions, *c.measures])
             frame = frame.where(p.where.column()) if p.where != TRUE else frame
-            part = frame.select(*dims, *c.measures)
+            part = frame.select(*p.dimensions, *c.measures)
             parts = part if parts is None else parts.unionByName(part, allowMissingColumns=True)
-        return _merge(self.s, parts, dims, list(p.stored))
+        merged = _merge(self.s, parts, list(p.dimensions), list(p.stored))
+        return merged if list(p.dimensions) == dims else _merge(self.s, merged, dims, list(p.stored))  # parents that are not shown
 
     def _finish(self, merged: DataFrame, dims: list[str], measures: list[str]) -> DataFrame:
         get = lambda m: self.s.measures[m].read(F.col(m))
@@ -176,7 +207,7 @@ class Cube:
             cols.append((get(m) if m in self.s.measures else self.s.computed[m].of(get)).alias(m))
         return merged.select(*cols)
 
-    def _attributes(self, out: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    def _attributes(self, out: DataFrame, names: tuple[str, ...], constants: dict[str, tuple]) -> DataFrame:
         wanted: dict[str, list[str]] = {}
         for a in names:
             if a not in self.s.dimensions:
@@ -184,18 +215,34 @@ class Cube:
                 wanted.setdefault(base, []).append(column)
         for base, columns in wanted.items():
             attr = self.s.attributes[base]
-            dim = attr.table().select(*attr.keys, *[F.col(c).alias(f"{base}.{c}") for c in columns]).dropDuplicates(list(attr.keys))
-            out = attribute_join(out, dim, list(attr.keys))
+            if base in constants:  # all keys are given: one row is looked up
+                row = attr.table()
+                for k, v in zip(attr.keys, constants[base]):
+                    row = row.where(F.col(k) == F.lit(v))
+                got = row.select(*columns).orderBy(*columns).first()
+                kinds = row.select(*columns).schema
+                out = out.withColumns({f"{base}.{c}": F.lit(got[c] if got else None).cast(kinds[c].dataType) for c in columns})
+                continue
+            plain = {c: f"__{i}" for i, c in enumerate(columns)}
+            dim = attr.table().select(*attr.keys, *[F.col(c).alias(x) for c, x in plain.items()])
+            dim = first_per_key(dim, list(attr.keys), list(plain.values()))
+            out = attribute_join(out, dim, list(attr.keys)).withColumnsRenamed({x: f"{base}.{c}" for c, x in plain.items()})
         return out
 
     # upkeep
-    def consolidate(self, aggregation: str, max_chunks: int = 1000, hot: bool = False) -> int:
-        """Merge chunks that overlap (the ``hot`` ones: most in one place; else from the least key) into one run."""
+    def consolidate(self, aggregation: str, max_chunks: int = 1000, strategy: str = "min_key") -> int:
+        """Merge runs into one and return how many. ``min_key``: those that overlap the one with the least key; ``hot``: those that
+        overlap the one that most others overlap; ``size``: those that hold less than a full file, the smallest first."""
         a = self.s.aggregations[aggregation]
-        every = sorted(self.chunks(aggregation), key=lambda c: (json.dumps(c["low"], default=str), c["path"]))
-        if hot:
-            every = sorted(every, key=lambda c: -sum(_overlap(c, o) for o in every))
-        picked = every[:max_chunks]
+        every = sorted(self.chunks(aggregation), key=lambda c: (json.dumps([v for v in c["low"].values()], default=str), c["path"]))
+        if strategy == "size":
+            picked = sorted((c for c in every if c["rows"] < a.chunk_rows), key=lambda c: (c["rows"], c["path"]))
+        elif every:
+            seed = every[0] if strategy == "min_key" else max(every, key=lambda c: sum(_overlap(c, o) for o in every))
+            picked = [c for c in every if _overlap(seed, c)]
+        else:
+            picked = []
+        picked = picked[:max_chunks]
         if len(picked) < 2:
             return 0
         frames = self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.root}/{c['path']}" for c in picked])
@@ -204,16 +251,53 @@ class Cube:
         self.commit(add=[new], remove=[c["path"] for c in picked])
         return len(picked)
 
+    @contextmanager
+    def locked(self, aggregation: str, seconds: float = 3600) -> Iterator[bool]:
+        """Whether this holder got the aggregation's lock, until the block ends; a lock older than ``seconds`` counts as left behind.
+
+        Locks save wasted work; what keeps the state right is the manifest, which refuses to remove a chunk twice."""
+        files, name = Files(self.spark, self.root), f"locks/{aggregation}"
+        if name.split("/")[1] in files.names("locks") and time.time() - json.loads(files.read(name))["at"] > seconds:
+            files.delete(name)
+        got = files.create(name, json.dumps({"at": time.time()}))
+        try:
+            yield got
+        finally:
+            if got:
+                files.delete(name)
+
+    def maintain(self, max_chunks: int = 1000, keep: int = 10) -> dict[str, int]:
+        """One round of upkeep: in each aggregation that is not locked merge small runs, then overlapping ones; then clean."""
+        done = {}
+        for a in self.s.aggregations:
+            with self.locked(a) as got:
+                if got:
+                    done[a] = self.consolidate(a, max_chunks, "size") + self.consolidate(a, max_chunks, "hot")
+        self.clean(keep)
+        return done
+
+    def backup(self, root: str) -> Cube:
+        """The latest state and its chunks copied to ``root``."""
+        there = Files(self.spark, root)
+        _, state = self.manifest.latest()
+        for c in state.get("chunks", []):
+            there.write(f"{c['path']}/_copied", "")  # makes the folder
+            for n in Files(self.spark, self.root).names(c["path"]):
+                if not n.endswith(".crc"):
+                    Files(self.spark, self.root).copy_to(f"{c['path']}/{n}", there, f"{c['path']}/{n}")
+        out = Cube(self.spark, self.s, root)
+        if not out.manifest.commit(0, state):
+            raise RuntimeError(f"{root} holds a cube already")
+        return out
+
     def irrelevant(self) -> list[dict]:
         """Chunks whose keys an aggregation's predicate excludes."""
-        return [c for c in self.chunks() if prunes(self.s.predicate(self.s.aggregations[c["aggregation"]]), c["low"], c["high"])]
+        return [c for c in self.chunks() if self._pruned(self.s.predicate(self.s.aggregations[c["aggregation"]]), c)]
 
     def clean(self, keep: int = 1) -> list[str]:
         """Delete folders that neither the latest ``keep`` states nor a later one names."""
         latest, _ = self.manifest.latest()
         held = {c["path"] for r in range(max(1, latest - keep + 1), latest + 1) for c in self.manifest.at(r).get("chunks", [])}
-        from ..session import Files
-
         files, gone = Files(self.spark, self.root), []
         for a in files.names("chunks"):
             for name in files.names(f"chunks/{a}"):

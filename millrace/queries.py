@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .cube.cube import Cube
 from .cube.structure import Aggregation, Attribute, DATA_WITH_TOTALS, Query, Structure
 from .functions import measures as M, predicates as P
 from .functions.scalar import list_get, map_get, negate, regexp_full
-from .operators import crdt, joins, reducers
+from .operators import crdt, crdt_store, joins, reducers
 from .operators.dataset import Dataset, page_rank
 from .plans.sql import SqlEngine, compat_avg, compat_sum, global_aggregate, order
 from .session import shared_path
 from .sources.catalog import Catalog, concat
-from .sources.logs import read_log, write_log
+from .sources.logs import read_log, settle, write_log
 from .streaming.etl import LogLoader, sessions, windowed
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
@@ -167,7 +169,9 @@ def _offset(spark, d):
 
 @query("local_limit", "SELECT least(count(*), 4) AS n FROM customer")
 def _local_limit(spark, d):
-    return Dataset(t(spark, d, "customer").coalesce(1)).local_limit(4).df.agg(F.count("*").alias("n"))
+    parts = Dataset(t(spark, d, "customer").repartition(3, "c_custkey").withColumn("p", F.spark_partition_id()))
+    each = parts.local_limit(4).df.groupBy("p").agg(F.count("*").alias("n"))
+    return each.agg(F.max("n").cast("long").alias("n"))
 
 
 @query("until_first", "SELECT c_custkey FROM customer WHERE c_custkey <= (SELECT min(c_custkey) FROM customer WHERE c_acctbal < 0)")
@@ -278,9 +282,12 @@ def events_cube(spark, d, root=None, parts=("true",)) -> Cube:
         measures={
             "events": M.count_("events"), "total": M.sum_("total", "value"), "squares": M.sum_("squares"), "low": M.min_("low", "value"), "high": M.max_("high", "value"),
             "users": M.distinct_count("users", "user_id"), "types": M.union_("types", "event_type"), "last_value": M.last("last_value", "value", "ts"),
+            "last_even": M.last("last_even", "even", "ts", not_null=True),
         },
         computed={
             "mean": M.div("total", "events"), "spread": M.stddev("total", "squares", "events"), "share": M.percent("high", "total"), "range": M.sub("high", "low"), "zero": M.div("total", M.value(0)),
+            "both": M.add("events", "total"), "product": M.mul("low", "high"), "hundredfold": M.percent("events"), "root": M.sqrt("total"), "square": M.sqr("high"),
+            "noise": M.variance("total", "squares", "events"), "constant": M.value(7), "same": M.measure("total"),
         },
         attributes={"user": Attribute(("user_id",), lambda: t(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment")), ("segment",))},
         validity={"event_type": P.not_eq("event_type", "error")},
@@ -288,12 +295,12 @@ def events_cube(spark, d, root=None, parts=("true",)) -> Cube:
             "daily": Aggregation("daily", ("day",), ("events", "total", "squares", "low", "high", "users", "types")),
             "by_type": Aggregation("by_type", ("day", "event_type"), ("events", "total", "squares", "low", "high", "users")),
             "valid": Aggregation("valid", ("event_type", "user_id"), ("events", "total"), P.has("event_type")),
-            "full": Aggregation("full", ("day", "event_type", "user_id"), ("events", "total", "squares", "low", "high", "last_value")),
+            "full": Aggregation("full", ("day", "event_type", "user_id"), ("events", "total", "squares", "low", "high", "last_value", "last_even")),
         },
     )
     cube = Cube(spark, s, root)
     for part in parts:
-        cube.load(t(spark, d, "events").where(part).select(F.to_date("ts").alias("day"), "event_type", "user_id", "value", "ts", (F.col("value") * F.col("value")).alias("squares")))
+        cube.load(t(spark, d, "events").where(part).select(F.to_date("ts").alias("day"), "event_type", "user_id", "value", "ts", (F.col("value") * F.col("value")).alias("squares"), F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("even")))
     return cube
 
 
@@ -318,6 +325,15 @@ cube_query("cube_between", "SELECT user_id, count(*) AS events FROM events WHERE
 cube_query("cube_or_not", "SELECT user_id, count(*) AS events FROM events WHERE user_id < 5 OR NOT (user_id <= 95) GROUP BY 1", attributes=("user_id",), measures=("events",), where=P.or_(P.lt("user_id", 5), P.not_(P.le("user_id", 95))))
 cube_query("cube_attr", "SELECT user_id, c_mktsegment AS user_segment, count(*) AS events FROM events LEFT JOIN customer ON c_custkey = user_id GROUP BY 1, 2", attributes=("user_id", "user.segment"), measures=("events",))
 cube_query("cube_last", "SELECT event_type, max_by(value, ts) AS last_value FROM events GROUP BY 1", attributes=("event_type",), measures=("last_value",))
+cube_query("cube_last_not_null", "SELECT event_type, max_by(value, ts) FILTER (WHERE event_id % 2 = 0 AND value IS NOT NULL) AS last_even FROM events GROUP BY 1", attributes=("event_type",), measures=("last_even",))
+cube_query(
+    "cube_formulas",
+    f"""SELECT {_DAY}, round(count(*) + sum(value), 4) AS both, round(min(value) * max(value), 4) AS product, count(*) * 100 AS hundredfold, round(CASE WHEN sum(value) > 0 THEN sqrt(sum(value)) ELSE 0 END, 4) AS root,
+       round(max(value) * max(value), 4) AS square, round(sum(value * value) / count(*) - power(sum(value) / count(*), 2), 2) AS noise, 7 AS constant, round(sum(value), 4) AS same,
+       round(CASE WHEN sum(value) <> 0 THEN max(value) / sum(value) ELSE 0 END * 100, 4) AS share FROM events GROUP BY 1""".replace("2) AS noise", "4) AS noise"),
+    attributes=("day",), measures=("both", "product", "hundredfold", "root", "square", "noise", "constant", "same", "share"),
+)
+cube_query("cube_attr_constant", "SELECT (SELECT c_mktsegment FROM customer WHERE c_custkey = 7) AS user_segment, count(*) AS events FROM events WHERE user_id = 7", attributes=("user.segment",), measures=("events",), where=P.eq("user_id", 7))
 cube_query("cube_union", f"SELECT {_DAY}, list_sort(list(DISTINCT event_type)) AS types FROM events GROUP BY 1", attributes=("day",), measures=("types",))
 cube_query("cube_multi_aggregation", f"SELECT {_DAY}, list_sort(list(DISTINCT event_type)) AS types, max_by(value, ts) AS last_value FROM events GROUP BY 1", attributes=("day",), measures=("types", "last_value"))
 
@@ -338,6 +354,23 @@ def _stored(spark, d):
     return out.select("day", "event_type", "events", F.round("total", 4).alias("total"))
 
 
+@query("cube_pruned", f"SELECT {_DAY}, count(*) AS events FROM events WHERE cast(ts AS DATE) <= (SELECT min(cast(ts AS DATE)) + 1 FROM events) GROUP BY 1")
+def _pruned_cube(spark, d):
+    """A condition on dates, which chooses the files that are read."""
+    first = t(spark, d, "events").agg(F.min(F.to_date("ts")).alias("d")).first()["d"]
+    cube = events_cube(spark, d, shared_path(spark, "cube"), ("event_type <> 'error'", "event_type = 'error'"))
+    return cube.query(Query(("day",), ("events",), P.le("day", first + timedelta(days=1)))).rows
+
+
+@query("cube_checked", "SELECT user_id, count(*) AS events FROM events WHERE event_type <> 'error' GROUP BY 1")
+def _checked(spark, d):
+    """Rows that an aggregation's predicate excludes are left out; the rest must meet the precondition."""
+    s = Structure({"event_type": "string", "user_id": "long"}, {"events": M.count_("events")}, validity={"event_type": P.not_eq("event_type", "error")}, aggregations={"valid": Aggregation("valid", ("event_type", "user_id"), ("events",), P.has("event_type"))})
+    cube = Cube(spark, s)
+    cube.load(t(spark, d, "events"), check={"event_type": P.not_eq("event_type", "error"), "user_id": P.ge("user_id", 0)})
+    return cube.query(Query(("user_id",), ("events",), P.has("event_type"))).rows
+
+
 @query("cube_hll")
 def _hll(spark, d):
     return events_cube(spark, d).query(Query(("day",), ("users",))).rows
@@ -355,21 +388,107 @@ _TYPES = "SELECT event_type, count(*) AS n, round(sum(value), 4) AS s FROM event
 
 @query("log_incremental", _TYPES)
 def _log(spark, d):
-    """Events as an hourly log, loaded by a stream in batches with committed positions."""
+    """Events as an hourly log, loaded in steps whose results and positions commit together."""
+    path, root = shared_path(spark, "log"), shared_path(spark, "loaded")
+    write_log(t(spark, d, "events").withColumn("p", F.col("event_id") % 2).repartition(2, "p"), path, "ts", "p")
+    loader = LogLoader(spark, root, {"types": lambda b: b.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("s"))})
+    loader.run(path, files_per_step=500)
+    return loader.read("types").groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("s"), 4).alias("s"))
+
+
+@query("log_stream", _TYPES)
+def _log_stream(spark, d):
+    """The same by a stream with a checkpoint."""
     path, root = shared_path(spark, "log"), shared_path(spark, "loaded")
     events = t(spark, d, "events")
     write_log(events.withColumn("p", F.col("event_id") % 2).repartition(2, "p"), path, "ts", "p")
     loader = LogLoader(spark, root, {"types": lambda b: b.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("s"))})
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema.fields) + ", p long"
-    loader.run(path, schema, files_per_batch=200)
+    loader.stream(path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema.fields) + ", p long", files_per_batch=500)
     return loader.read("types").groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("s"), 4).alias("s"))
 
 
+@query("log_resume", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def _log_resume(spark, d):
+    """Three appends to the same hours, each read from the position that the read before it returned."""
+    path, position, parts = shared_path(spark, "log"), None, []
+    rows = t(spark, d, "events").withColumn("p", F.lit("a"))
+    for k in range(3):
+        write_log(rows.where(F.pmod("event_id", F.lit(3)) == k), path, "ts", "p", remainder=0 if k == 2 else None)
+        part, position = read_log(spark, path, "a", position)
+        parts.append(part.select("event_type"))
+    last, _ = read_log(spark, path, "a", settle(position, "9999"))
+    if last is not None:
+        raise RuntimeError("the position does not hold what was read")
+    return parts[0].union(parts[1]).union(parts[2]).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
 @query("log_read", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def _log_read(spark, d):
     path = shared_path(spark, "log")
-    write_log(t(spark, d, "events").withColumn("p", F.lit("a")).coalesce(1), path, "ts", "p")
-    return read_log(spark, path, "a")[0].groupBy("event_type").agg(F.count("*").alias("n"))
+    write_log(t(spark, d, "events").withColumn("p", F.lit("a")), path, "ts", "p", prefix="x_", suffix="_y")
+    return read_log(spark, path, "a", prefix="x_", suffix="_y")[0].groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("log_sql", "SELECT event_type, count(*) AS n, max(event_id) AS top FROM events WHERE event_id % 4 = 1 GROUP BY 1")
+def _log_sql(spark, d):
+    """SQL over a log folder; the partition is a folder, so the condition reads a quarter."""
+    path = shared_path(spark, "log")
+    write_log(t(spark, d, "events").withColumn("p", F.col("event_id") % 4), path, "ts", "p")
+    Catalog(spark).add_log("log_item", path)
+    return SqlEngine(spark).query("SELECT event_type, count(*) AS n, max(event_id) AS top FROM log_item WHERE part = ? GROUP BY event_type", [1])
+
+
+@query("udf_sql", "SELECT o_orderkey, o_totalprice * 2 + 1 AS x FROM orders")
+def _udf_sql(spark, d):
+    Catalog(spark).add_folder(d, "orders")
+    return SqlEngine(spark).register("twice_and_one", lambda x: x * 2 + 1, "double").query("SELECT o_orderkey, twice_and_one(o_totalprice) AS x FROM orders")
+
+
+@query("fn_list_get_sql", "SELECT vec_id, embedding[3] AS x, embedding[1000] AS none FROM embeddings")
+def _list_get_sql(spark, d):
+    Catalog(spark).add_folder(d, "embeddings")
+    return SqlEngine(spark).query("SELECT vec_id, LIST_GET(embedding, ?) AS x, LIST_GET(embedding, (? - 1)) AS none FROM embeddings", [2, 1000])
+
+
+@query("join_left_values", "SELECT CASE WHEN n_nationkey IS NULL THEN r_name || ':none' ELSE r_name || ':' || n_name END AS value FROM region LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 5 > 2) ON r_regionkey = n_nationkey WHERE n_nationkey IS NOT NULL OR r_regionkey <> 1")
+def _left_values(spark, d):
+    """Pairs and lonely rows become values; a null is no row."""
+    n = t(spark, d, "nation").where("n_nationkey % 5 > 2")
+    return joins.left_join(
+        t(spark, d, "region"), n, [("r_regionkey", "n_nationkey")], lambda r: F.concat_ws(":", f"{r}.r_name", f"{r}.n_name"), lambda r: F.when(F.col(f"{r}.r_regionkey") != 1, F.concat(f"{r}.r_name", F.lit(":none")))
+    )
+
+
+@query("ds_stream_reduce", """SELECT user_id, first_event, n FROM (SELECT user_id, min(event_id) AS first_event, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM
+  (SELECT user_id, event_id, CASE WHEN event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) <= 100 THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s) WHERE n > 1""")
+def _stream_reduce(spark, d):
+    """Runs of events with gaps of at most 100 ids: several rows per user, or none."""
+
+    def row(acc):
+        return [tuple(acc)] if acc[2] > 1 else []
+
+    def first(r):
+        return [r.user_id, r.event_id, 1, r.event_id], []
+
+    def following(acc, r):
+        if r.event_id - acc[3] > 100:
+            return first(r)[0], [x[:3] for x in row(acc)]
+        return [acc[0], acc[1], acc[2] + 1, r.event_id], []
+
+    events = Dataset(t(spark, d, "events").select("user_id", "event_id"))
+    return events.stream_reduce(["user_id"], ["event_id"], first, following, lambda acc: [x[:3] for x in row(acc)], "user_id long, first_event long, n long").df
+
+
+@query("ds_local_reduce", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1")
+def _local_reduce(spark, d):
+    """Once per key and partition, then summed."""
+    out = Dataset(t(spark, d, "lineitem").select("l_returnflag")).local_reduce(["l_returnflag"], lambda g: g.size().reset_index(name="n"), "l_returnflag string, n long")
+    return out.df.groupBy("l_returnflag").agg(F.sum("n").alias("n"))
+
+
+@query("ds_fold", "SELECT c_nationkey, max(c_acctbal) AS top FROM customer GROUP BY 1")
+def _fold(spark, d):
+    return Dataset(t(spark, d, "customer")).reduce(["c_nationkey"], top=reducers.fold("c_acctbal", F.max)).df
 
 
 _R = "event_id % 3 AS replica"
@@ -413,13 +532,53 @@ def _tombstone(spark, d):
     return crdt.merge_state(rows, ["user_id"], {"n": F.count("*")})
 
 
-@query("crdt_store", "SELECT user_id, max(ts) AS ts, max(event_id) AS e FROM events GROUP BY 1")
+def _crdt_parts(spark, d, store) -> None:
+    rows = t(spark, d, "events").select("user_id", "ts", "event_id")
+    store.upload(rows.where("event_id % 2 = 0"))
+    store.upload(rows.where("event_id % 2 = 1"))
+
+
+@query("crdt_store", "SELECT user_id, max(ts) AS ts, max(event_id) AS e, count(*) AS n FROM events GROUP BY 1")
 def _store(spark, d):
-    s = crdt.CrdtStore(spark, shared_path(spark, "crdt"), ["user_id"], {"e": F.max("e")})
-    rows = t(spark, d, "events").select("user_id", "ts", F.col("event_id").alias("e"))
-    s.upload(rows.where("e % 2 = 0"))
-    s.upload(rows.where("e % 2 = 1"))
-    return s.compact(shared_path(spark, "crdt")).download()
+    """Two uploads, compacted; a count is a sum of ones, so it survives."""
+    s = crdt_store.CrdtStore(spark, shared_path(spark, "crdt"), ["user_id"], {"e": crdt_store.largest("event_id"), "n": crdt_store.counted()})
+    _crdt_parts(spark, d, s)
+    s.compact(everything=True)
+    return s.download()
+
+
+@query("crdt_removed", """WITH g AS (SELECT user_id, max(ts) AS gone FROM events WHERE event_id % 7 = 0 GROUP BY 1)
+  SELECT user_id, max(ts) AS ts, max(event_id) AS e FROM events LEFT JOIN g USING (user_id) WHERE gone IS NULL OR ts > gone GROUP BY 1""")
+def _removed(spark, d):
+    s = crdt_store.CrdtStore(spark, shared_path(spark, "crdt"), ["user_id"], {"e": crdt_store.largest("event_id")})
+    s.remove(t(spark, d, "events").where("event_id % 7 = 0").select("user_id", "ts"))
+    _crdt_parts(spark, d, s)
+    s.compact()
+    return s.download()
+
+
+@query("crdt_replicas", "SELECT user_id, max(ts) AS ts, max(event_id) AS e FROM events GROUP BY 1")
+def _replicas(spark, d):
+    """Two of three nodes per key, moved to four nodes, read with one of them down."""
+    node = lambda: crdt_store.CrdtStore(spark, shared_path(spark, "crdt"), ["user_id"], {"e": crdt_store.largest("event_id")})
+    three = {n: node() for n in "abc"}
+    store = crdt_store.ReplicatedStore(three, 2)
+    _crdt_parts(spark, d, store)
+    return store.repartition(three | {"d": node()}).download(down=frozenset("b"))
+
+
+@query("crdt_wal", "SELECT n_regionkey AS k, max(n_nationkey) AS ts, max(n_name) AS name FROM nation GROUP BY 1")
+def _wal(spark, d):
+    """Rows put one by one on the driver, flushed twice, uploaded."""
+    wal = crdt_store.WriteAheadLog(spark, shared_path(spark, "wal"), "k int, ts long, name string")
+    for i, r in enumerate(t(spark, d, "nation").orderBy("n_nationkey").toLocalIterator()):
+        wal.put(r["n_regionkey"], r["n_nationkey"], r["n_name"])
+        if i == 9:
+            wal.flush()
+    wal.flush()
+    store = crdt_store.CrdtStore(spark, shared_path(spark, "crdt"), ["k"], {"name": crdt_store.largest("name")})
+    wal.upload(store)
+    return store.download()
 
 
 @query("rendezvous_owner")
