@@ -173,8 +173,3 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         if jump.where("label <> old").limit(1).count() == 0:
             scratch.drop(both)
             return labels
-
-
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound the rows of an Arrow batch, so that long texts do not gather in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -19,8 +19,8 @@ distinct word is encoded once per task; a text whose words do not add up to the
 words with other white space) is encoded as a whole.
 
 Defined cases: null and empty texts are the end token alone; rows that repeat an id are packed each;
-longer documents than ``size`` are cut into pieces of ``size``, of which the last may be shorter; an empty
-table gives no pieces; other columns are not read.
+longer documents than ``size`` are cut into pieces of ``size``, of which the last may be shorter; very long texts
+are encoded in stretches that end at white space; an empty table gives no pieces; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import Scratch, small_batches
-from .vectext import FOLD, WHITE, chunks, mix, prefix_hash, ragged, words
+from .common import Scratch, in_batches, small
+from .vectext import CHUNK, FOLD, WHITE, chunks, ragged, stretches, words
 
 END_ID = 0
 
@@ -55,10 +55,11 @@ class WordEncoder:
     """Token ids of texts, each distinct word encoded once while the cache holds it.
 
     A word is a run without ASCII white space, cut where an ASCII letter or digit meets ASCII punctuation; the
-    tokenizer cuts in all these places too. Words are looked up by 64 bits of hash, A-Z in lower case.
+    tokenizer cuts in all these places too. Words are looked up by their bytes, A-Z in lower case. Beyond LIMIT words or
+    ROOM bytes of words the cache keeps those that came more than once, at most a quarter of the limit.
     """
 
-    LIMIT = 1 << 20
+    LIMIT, ROOM = 1 << 18, 16 << 20
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -74,11 +75,38 @@ class WordEncoder:
         return [[t.id for t in self.tok.model.tokenize(w)] for w in probe] == [self.tok.encode(w, add_special_tokens=False).ids for w in probe]
 
     def _clear(self):
-        self.at: dict[int, int] = {}
+        self.at: dict[bytes, int] = {}
+        self.held = 0
+        self.seen = np.zeros(1 << 14, np.int32)  # in how many stretches each word came
         self.ids = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)  # ends[i + 1]: where the ids of word i end
 
-    def _learn(self, keys: list[int], new: list[bytes]) -> None:
+    def _shrink(self) -> None:
+        names, seen = list(self.at), self.seen[: len(self.at)]
+        keep = np.flatnonzero(seen > 1)
+        if len(keep) > self.LIMIT // 4:
+            keep = np.sort(keep[np.argsort(-seen[keep], kind="stable")[: self.LIMIT // 4]])
+        begin = self.ends[keep]
+        size = self.ends[keep + 1] - begin
+        ids = self.ids[ragged(begin, size)]
+        self._clear()
+        self._grow(len(keep), len(ids))
+        self.ids[: len(ids)] = ids
+        self.ends[1 : len(keep) + 1] = np.cumsum(size)
+        self.seen[: len(keep)] = seen[keep] // 2
+        kept = [names[i] for i in keep.tolist()]
+        self.at = dict(zip(kept, range(len(kept))))
+        self.held = sum(map(len, kept))
+        if self.held > self.ROOM // 2:
+            self._clear()
+
+    def _grow(self, n: int, ids: int) -> None:
+        while ids > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + 1 > len(self.ends):
+            self.ends, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.ends, self.seen))
+
+    def _learn(self, new: list[bytes]) -> None:
         model, got, rest = self.tok.model, [None] * len(new), []
         for i, w in enumerate(new):
             if self.plain and PLAIN.fullmatch(w):
@@ -87,44 +115,50 @@ class WordEncoder:
                 rest.append(i)
         for i, e in zip(rest, self.tok.encode_batch([new[i].decode() for i in rest], add_special_tokens=False)):
             got[i] = e.ids
-        flat = np.array([i for x in got for i in x], np.uint32)
+        flat = np.fromiter((i for x in got for i in x), np.uint32)
         k = len(self.at)
         used = int(self.ends[k])
-        while used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while k + len(new) + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self._grow(k + len(new), used + len(flat))
         self.ids[used : used + len(flat)] = flat
         self.ends[k + 1 : k + 1 + len(new)] = used + np.cumsum([len(x) for x in got])
-        self.at.update(zip(keys, range(k, k + len(new))))
+        self.at.update(zip(new, range(k, k + len(new))))
+        self.held += sum(map(len, new))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text, without the end token; ``data`` and ``offsets`` are the texts' bytes."""
-        if len(self.at) > self.LIMIT:
-            self._clear()
+        ids, length = [np.zeros(0, np.uint32)], np.zeros(len(offsets) - 1, np.int64)
+        for _, part, bounds in stretches(data, offsets, WHITE, 4 * CHUNK):
+            got, row, size = self._words(part, bounds)
+            ids.append(got)
+            length += np.bincount(row, weights=size, minlength=len(length)).astype(np.int64)
+        out = np.split(np.concatenate(ids), np.cumsum(length)[:-1]) if len(length) else []
+        odd = np.zeros(len(texts), bool)
+        for x in self.special:
+            odd |= pc.match_substring(texts, x, ignore_case=True).fill_null(False).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = np.array(self.tok.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+        return out
+
+    def _words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all words, the row of each word, the number of its ids)."""
+        if len(self.at) > self.LIMIT or self.held > self.ROOM:
+            self._shrink()
         start, end, row = words(data, offsets, WHITE, PUNCT, ALNUM)
-        sums, down = prefix_hash(FOLD[data])
-        keys, first, word = np.unique(mix((sums[end] - sums[start]) * down[start]), return_index=True, return_inverse=True)
-        names = keys.tolist()
+        bounds = np.concatenate(([0], np.cumsum(end - start))).astype(np.int32)
+        inside = FOLD[data[~WHITE[data]]]  # the words without what stands between
+        seen = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(inside)]).dictionary_encode()
+        names = seen.dictionary.to_pylist()
         index = np.fromiter(map(self.at.get, names, repeat(-1)), np.int64, len(names))
         new = np.flatnonzero(index < 0)
         if len(new):
-            raw = FOLD[data].tobytes()
             k = len(self.at)
-            self._learn([names[i] for i in new.tolist()], [raw[start[i] : end[i]] for i in first[new].tolist()])
+            self._learn([names[i] for i in new.tolist()])
             index[new] = np.arange(k, k + len(new))
-        word = index[word]
+        self.seen[index] += 1
+        word = index[seen.indices.to_numpy()]
         begin = self.ends[word]
-        length = self.ends[word + 1] - begin
-        ids = self.ids[ragged(begin, length)]
-        ends = np.concatenate(([0], np.cumsum(length)))[np.searchsorted(row, np.arange(len(offsets)))]
-        out = [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
-        odd = np.zeros(len(texts), bool)
-        for x in self.special:
-            odd |= pc.match_substring(texts, x, ignore_case=True).fill_null(False).to_numpy(zero_copy_only=False)
-        for i in np.flatnonzero(odd).tolist():
-            out[i] = np.array(self.tok.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
-        return out
+        size = self.ends[word + 1] - begin
+        return self.ids[ragged(begin, size)], row, size
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -144,7 +178,7 @@ def _pieces(path: str, size: int, with_ids: bool):
         for b in batches:
             out = defaultdict(list)
             texts, ids_of = b.column("text"), b.column("doc_id").to_pylist()
-            for i0, i1, data, offsets in chunks(texts, 4 << 20):
+            for i0, i1, data, offsets in chunks(texts, 4 * CHUNK):
                 for doc, ids in zip(ids_of[i0:i1], enc.encode(data, offsets, texts.slice(i0, i1 - i0))):
                     ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
                     for p, a in enumerate(range(0, len(ids), size)):
@@ -164,9 +198,8 @@ def _pieces(path: str, size: int, with_ids: bool):
 
 def tokenize(spark: SparkSession, docs: DataFrame, path: str, size: int, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document, cut at ``size`` tokens; ids are little-endian 32-bit."""
-    small_batches(spark, 256)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces(path, size, with_ids), schema)
+    return in_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), _pieces(path, size, with_ids), schema)
 
 
 def plan(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -283,26 +316,25 @@ def _assign(spec):
     return run
 
 
-def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, size: int = 2048, salts: int = 64, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset): one row per piece."""
+def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, size: int = 2048, per_salt: int = 50_000, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset): one row per piece.
+
+    Pieces of a length are ranked in runs of about ``per_salt`` at most, so their number follows the input."""
     scratch = Scratch(spark, "pack")
     pieces = scratch.put(tokenize(spark, docs, tokenizer, size, with_ids, id_col, text_col), "pieces")
+    salts = max(8, -(-pieces.count() // per_salt))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
-    # at most size * salts rows
-    each = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).orderBy("length", "salt").collect()
-    counts: dict[int, int] = defaultdict(int)
-    before = []
-    for r in each:
-        before.append((r["length"], r["salt"], counts[r["length"]]))
-        counts[r["length"]] += r["n"]
+    each = scratch.put(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "counts")
+    counts = {r["length"]: r["n"] for r in each.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size`` rows
     spec = spark.sparkContext.broadcast(lookup(plan(counts, size)))
-    firsts = F.broadcast(spark.createDataFrame(before, "length long, salt long, before long"))
+    earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = scratch.put(each.select("length", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), "firsts")
     place = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.join(firsts, ["length", "salt"]).withColumn("rank", F.col("before") + F.row_number().over(place) - 1)
+    ranked = salted.join(small(firsts, 200_000), ["length", "salt"]).withColumn("rank", F.col("before") + F.row_number().over(place) - 1)
     names = pieces.columns
     out = ranked.select(*names, F.col("rank").cast("long").alias("rank"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
-    return out.mapInArrow(_assign(spec), schema)
+    return in_batches(out, _assign(spec), schema, 20_000)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

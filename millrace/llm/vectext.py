@@ -141,28 +141,3 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
-
-
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
-
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse modulo 2**64 for i below n."""
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, 1 << 20)
-        for name, x in (("up", BASE), ("down", INVERSE)):
-            a = np.full(size, x, np.uint64)
-            a[0] = 1
-            _POWERS[name] = np.multiply.accumulate(a)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
-
-
-def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sums, inverse powers): the hash of bytes i to j is (sums[j] - sums[i]) * down[i]."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    return sums, down
