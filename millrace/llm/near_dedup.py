@@ -11,11 +11,14 @@ similarity and drops what cannot link, and whole sets confirm every link.
   with a linked set of at most k, and with a larger one, of at most 100 n / percent, all but the values that
   its sketch cut off. For larger sets a pair at the threshold shares fewer than ``floor`` values with
   probability under 1e-7.
-* A list of at most ``short`` documents yields its pairs. A longer one (a large group of near copies)
-  yields only links to its first member: it just says which documents have to be compared.
-* Documents that are joined by candidates form a cluster; their whole sets meet in blocks of ``block``,
-  every pair of blocks once, as products of incidence matrices. Tasks hold two blocks, whatever the
-  cluster's size, and return a spanning forest of the confirmed links, never the pairs.
+* A list of at most ``short`` documents yields its pairs, each tested on the sketches. A longer one first tests
+  its members against its first member, the hub; only those that do not resemble it are compared with the
+  rest of the list, in blocks of ``block`` sketches. So a large group of near copies costs one test a document, and
+  documents that only share a common shingle are not joined. Lists with the same members count once.
+* Documents that are joined by candidates form a cluster. A cluster of one block is compared as a whole. In a
+  larger one whole sets are first held against the hub's; what is not linked to it meets the rest in pairs of
+  blocks (by number and by bytes of sets), as products of incidence matrices. Tasks hold two blocks, whatever
+  the cluster's size, and return a spanning forest of the confirmed links, never the pairs.
 
 Defined cases: null, empty and word-free texts have no shingles and link with nothing; with fewer words
 than ``words`` the whole sequence is one shingle; rows that repeat an id are separate rows of one
@@ -32,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import Scratch, components, small_batches
+from .common import Scratch, components, in_batches
 from .vectext import WHITE, chunks, mix, word_hashes
 
 SHINGLE = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93))
@@ -83,29 +86,31 @@ def _sketches(words: int, k: int):
     return run
 
 
+def _packed(batches):
+    """Sketches as bytes."""
+    for b in batches:
+        data, offsets = b.column(1).values.to_numpy(), b.column(1).offsets.to_numpy()
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([data[x:y].tobytes() for x, y in zip(offsets[:-1], offsets[1:])], pa.binary())], names=["sid", "vals"])
+
+
 def _sets(words: int):
     def run(batches):
         for b in batches:
-            sets = list(shingle_sets(b.column("text"), words))
-            data = pa.array([s.tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("sid"), b.column("cluster"), b.column("nb"), data], names=["sid", "cluster", "nb", "shingles"])
+            data = pa.array([s.tobytes() for s in shingle_sets(b.column("text"), words)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("sid"), b.column("grp"), b.column("n"), data], names=["sid", "grp", "n", "vals"])
 
     return run
 
 
-def _linked(sets: list[np.ndarray], percent: int, columns: int = 2048) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with 100 * intersection >= percent * union."""
+def _common(sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
+    """The number of common values of each two sets, by products of slices of the incidence matrix."""
     m = len(sets)
-    size = np.array([len(s) for s in sets])
-    if m == 2:
-        n = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if 100 * n >= percent * (size.sum() - n) else []
-    owner, value = np.repeat(np.arange(m), size), np.concatenate(sets)
+    owner, value = np.repeat(np.arange(m), [len(s) for s in sets]), np.concatenate(sets)
     order = np.argsort(value, kind="stable")
     owner, value = owner[order], value[order]
-    new = np.concatenate(([True], value[1:] != value[:-1]))
+    new = np.concatenate(([True], value[1:] != value[:-1])) if len(value) else np.zeros(0, bool)
     group = np.cumsum(new) - 1
-    shared = np.bincount(group)[group] > 1
+    shared = np.bincount(group)[group] > 1 if len(group) else new
     owner, group = owner[shared], group[shared]
     common = np.zeros((m, m), np.float32)
     if len(group):
@@ -116,10 +121,13 @@ def _linked(sets: list[np.ndarray], percent: int, columns: int = 2048) -> list[t
                 x = np.zeros((m, columns), np.float32)
                 x[owner[a:b], group[a:b] % columns] = 1
                 common += x @ x.T
-    link = 100 * common >= percent * (size[:, None] + size[None, :] - common)
-    np.fill_diagonal(link, False)
-    left, out = np.ones(m, bool), []
-    for s in range(m):  # breadth first; each row is looked at once
+    return common
+
+
+def _forest(link: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what ``link`` connects, breadth first; each row is looked at once."""
+    left, out = np.ones(len(link), bool), []
+    for s in range(len(link)):
         if not left[s]:
             continue
         left[s] = False
@@ -133,41 +141,106 @@ def _linked(sets: list[np.ndarray], percent: int, columns: int = 2048) -> list[t
     return out
 
 
-def _compare(percent: int):
-    def solve(rows: dict[int, bytes]) -> list[tuple[int, int]]:
+def _compare(linked):
+    """Over rows (job, sid, n, vals) sorted by job: a forest of what ``linked(n, common)`` holds for."""
+
+    def solve(rows: dict[int, tuple[int, bytes]]) -> list[tuple[int, int]]:
         if len(rows) < 2:
             return []
-        sids = list(rows)
-        return [(sids[a], sids[b]) for a, b in _linked([np.frombuffer(rows[s], np.int64) for s in sids], percent)]
+        sids, n = list(rows), np.array([x for x, _ in rows.values()], np.float64)
+        sets = [np.frombuffer(x, np.int64) for _, x in rows.values()]
+        if len(sets) == 2:
+            both = float(len(np.intersect1d(*sets, assume_unique=True)))
+            link = linked(n, np.array([[n[0], both], [both, n[1]]]))
+        else:
+            link = linked(n, _common(sets).astype(np.float64))
+        np.fill_diagonal(link, False)
+        return [(sids[a], sids[b]) for a, b in _forest(link)]
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
     def run(batches):
         now, rows = None, {}
         for b in batches:
-            out, jobs, sids, data = [], b.column("job"), b.column("sid").to_pylist(), b.column("shingles")
-            for i, job in enumerate(jobs.to_pylist()):
+            out, sids, n, data = [], b.column("sid").to_pylist(), b.column("n").to_pylist(), b.column("vals")
+            for i, job in enumerate(b.column("job").to_pylist()):
                 if job != now:
                     out += solve(rows)
                     now, rows = job, {}
-                rows[sids[i]] = data[i].as_py()
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
-        out = solve(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+                rows[sids[i]] = n[i], data[i].as_py()
+            yield batch(out)
+        yield batch(solve(rows))
 
     return run
 
 
+def _exact(percent: int):
+    """The contract's test on whole sets."""
+    return lambda n, common: 100 * common >= percent * (n[:, None] + n[None, :] - common)
+
+
+def _likely(percent: int, k: int, floor: int):
+    """The test on sketches: exact for sets that their sketches hold whole, else on the values two sketches share."""
+
+    def linked(n, common):
+        x, y = n[:, None], n[None, :]
+        whole = (x <= k) & (y <= k)
+        sizes = 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+        return sizes & np.where(whole, 100 * common >= percent * (x + y - common), common >= np.minimum(floor, np.minimum(x, y)))
+
+    return linked
+
+
+def _with_hub(linked):
+    """Rows (grp, sid, n, vals) joined with their hub's (hn, hvals), plus ``near``: whether the two link."""
+
+    def run(batches):
+        for b in batches:
+            near, mine, hub = [], b.column("vals"), b.column("hvals")
+            for i, (n, hn) in enumerate(zip(b.column("n").to_pylist(), b.column("hn").to_pylist())):
+                x, y = (np.frombuffer(c[i].as_py(), np.int64) for c in (mine, hub))
+                both = float(len(np.intersect1d(x, y, assume_unique=True)))
+                near.append(bool(linked(np.array([n, hn], np.float64), np.array([[n, both], [both, hn]]))[0, 1]))
+            yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("sid"), b.column("n"), mine, pa.array(near, pa.bool_())], names=["grp", "sid", "n", "vals", "near"])
+
+    return run
+
+
+def _compared(scratch: Scratch, rows: DataFrame, linked, block: int, name: str) -> DataFrame:
+    """(a, b): edges that connect, within each group, all that links. ``rows`` has grp, hub, sid, n, vals.
+
+    Members that link to their group's hub need no test among themselves."""
+    hubs = rows.where("sid = hub").groupBy("grp").agg(F.first("n").alias("hn"), F.first("vals").alias("hvals"))
+    marked = in_batches(rows.join(hubs, "grp"), _with_hub(linked), "grp long, sid long, n long, vals binary, near boolean")
+    marked = scratch.put(marked, f"{name}-near")
+    many = lambda near: F.ceil(F.greatest(F.count(F.when(near, 1)) / block, F.sum(F.when(near, F.octet_length("vals")).otherwise(0)) / (16 << 20))).cast("int")
+    sizes = marked.groupBy("grp").agg(many(~F.col("near")).alias("nu"), many(F.col("near")).alias("nc"), F.min(F.when(F.col("near"), F.col("sid"))).alias("hub")).where("nu > 0")
+    dealt = marked.join(sizes.select("grp", "nu", "nc"), "grp")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("sid", "grp"), F.when(F.col("near"), F.col("nc")).otherwise(F.col("nu"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    key = lambda kind, i, j: F.concat_ws("-", F.col("grp").cast("string"), F.lit(kind), i, j)
+    own = F.col("own")
+    among = F.transform(upto("nu"), lambda o: key("u", F.least(own, o), F.greatest(own, o)))
+    across = F.transform(upto("nc"), lambda o: key("c", own, o))
+    across_near = F.transform(upto("nu"), lambda o: key("c", o, own))
+    jobs = dealt.select("sid", "n", "vals", F.explode(F.when(F.col("near"), across_near).otherwise(F.concat(among, across))).alias("job"))
+    found = in_batches(jobs.repartition("job").sortWithinPartitions("job").select("job", "sid", "n", "vals"), _compare(linked), "a long, b long")
+    star = marked.where("near").join(rows.select("grp", "hub").distinct(), "grp").where("sid <> hub").select(F.col("hub").alias("a"), F.col("sid").alias("b"))
+    return scratch.put(star.union(found), name)
+
+
 def near_duplicates(
     spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80, k: int = 32, short: int = 32, block: int = 512, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, text_hash): one row per row of ``docs``; see the module for method and cases."""
-    small_batches(spark)
     scratch = Scratch(spark, "near-dedup")
     floor = math.floor(k * percent / 100 - 6 * math.sqrt(k * percent * (100 - percent)) / 100)
     floor = max(1, floor)
 
     slim = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     slim = slim.withColumn("tf", F.xxhash64("text"))
-    sketched = scratch.put(slim.mapInArrow(_sketches(words, k), "rid long, doc_id long, tf long, n long, k1 long, k2 long, sketch array<long>"), "sketches")
+    sketched = scratch.put(in_batches(slim, _sketches(words, k), "rid long, doc_id long, tf long, n long, k1 long, k2 long, sketch array<long>"), "sketches")
 
     sets = (
         sketched.where("n > 0")
@@ -206,21 +279,34 @@ def near_duplicates(
     exact = (F.col("na") <= k) & (F.col("nb") <= k)
     full = F.size(F.array_intersect("sa", "sb"))
     likely = with_sketches.where(F.when(exact, 100 * full >= percent * (F.col("na") + F.col("nb") - full)).otherwise(hits >= F.least(F.lit(floor), F.size(union))))
-    edges = likely.select("a", "b").union(listed.where(f"len > {short} and sid <> hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct())
+    edges = likely.select("a", "b")
+    long = listed.where(f"len > {short}")
+    if long.limit(1).count():
+        alike = long.groupBy("value").agg(F.first("len").alias("len"), F.first("hub").alias("hub"), F.bit_xor(F.xxhash64("sid")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("s2"))
+        once = alike.groupBy("len", "hub", "s1", "s2").agg(F.min("value").alias("grp"))
+        members = long.select(F.col("value").alias("grp"), "sid", "n").join(once.select("grp", "hub"), "grp")
+        pack = in_batches(sk, _packed, "sid long, vals binary").withColumnRenamed("sid", "s_")
+        rows = scratch.put(members.join(pack, members.sid == pack["s_"]).select("grp", "hub", "sid", "n", "vals"), "long")
+        edges = edges.union(_compared(scratch, rows, _likely(percent, k, floor), 2 * block, "likely"))
+        scratch.drop(rows)
     clusters = components(scratch, scratch.put(edges, "candidates"))
     scratch.drop(listed)
     scratch.release()
 
-    sizes = clusters.groupBy("label").agg(F.count("*").alias("m"))
-    members = clusters.join(sizes, "label").select(F.col("node").alias("sid"), F.col("label").alias("cluster"), F.ceil(F.col("m") / block).cast("int").alias("nb"))
-    wanted = scratch.put(members.join(sets.select("sid", "doc_id", "tf"), "sid"), "wanted")
-    texts = slim.select("doc_id", "tf", "text").join(wanted.hint("merge"), slim.doc_id.eqNullSafe(wanted.doc_id) & (slim.tf == wanted.tf)).select("sid", "cluster", "nb", "text")
-    shipped = texts.mapInArrow(_sets(words), "sid long, cluster long, nb int, shingles binary")
-    at = F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int")
-    jobs = shipped.withColumn("own", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    jobs = jobs.select("sid", "shingles", F.concat_ws("-", "cluster", F.least("own", "other"), F.greatest("own", "other")).alias("job"))
-    found = jobs.repartition("job").sortWithinPartitions("job").select("job", "sid", "shingles").mapInArrow(_compare(percent), "a long, b long")
-    links = components(scratch, scratch.put(found, "links"))
+    members = clusters.select(F.col("node").alias("sid"), F.col("label").alias("grp")).join(sets.select("sid", "doc_id", "tf", "n"), "sid")
+    members = scratch.put(members, "members")
+    sizes = members.groupBy("grp").agg(((F.count("*") <= block) & (F.sum("n") <= (4 << 20))).alias("one"))
+    wanted = scratch.put(members.join(sizes, "grp"), "wanted")
+    texts = slim.select("doc_id", "tf", "text").join(wanted.hint("merge"), slim.doc_id.eqNullSafe(wanted.doc_id) & (slim.tf == wanted.tf)).select("sid", F.when(F.col("one"), F.col("grp")).otherwise(-1 - F.col("grp")).alias("grp"), "n", "text")
+    whole = scratch.put(in_batches(texts, _sets(words), "sid long, grp long, n long, vals binary"), "sets-whole")
+    jobs = whole.where("grp >= 0").select(F.col("grp").alias("job"), "sid", "n", "vals")
+    found = scratch.put(in_batches(jobs.repartition("job").sortWithinPartitions("job"), _compare(_exact(percent)), "a long, b long"), "links")
+    if wanted.where("not one").limit(1).count():
+        # the label of a cluster is its smallest member
+        rows = whole.where("grp < 0").select((-1 - F.col("grp")).alias("grp"), (-1 - F.col("grp")).alias("hub"), "sid", "n", "vals")
+        found = found.union(_compared(scratch, rows, _exact(percent), block, "links-large"))
+    scratch.release()
+    links = components(scratch, found)
 
     named = sets.join(links.withColumnRenamed("node", "sid"), "sid", "left").select("n", "k1", "k2", "least", F.coalesce("label", "sid").alias("comp"))
     firsts = named.groupBy("comp").agg(F.min("least").alias("component_id"))
