@@ -9,8 +9,8 @@ the input, so neither a frequent key's shard nor a group of equal records exceed
 more than chance.
 
 Defined cases: a null text has no bytes; records without a key are dealt out by a hash of the whole
-record; equal records get slots of their own; an empty table gives an empty result; all columns of the
-input travel with their record.
+record; equal records get slots of their own; a very long text fills a bucket alone; an empty table gives an
+empty result; all columns of the input travel with their record, one named ``shard`` or ``slot`` as ``shard_`` or ``slot_``.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import Scratch
+from .common import Scratch, apart
 
 
 def rendezvous(key: Column, shards: int, seed: int) -> Column:
@@ -37,13 +37,13 @@ def shard(
     total = df.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64)).first()[0] or 0
     buckets = max(1, math.ceil(total / shards / bucket_bytes))
 
-    of_key = F.coalesce(F.xxhash64(key) * F.when(F.col(key).isNotNull(), F.lit(1)), F.xxhash64(F.lit(seed + 1), *names))
+    of_key = F.coalesce(F.when(F.col(key).isNotNull(), F.xxhash64(key)), F.xxhash64(F.lit(seed + 1), *names))
     placed = df.select(
         rendezvous(of_key, shards, seed).alias("__shard"),
         F.xxhash64(F.lit(seed + 2), *names, F.monotonically_increasing_id()).alias("__h"),
         F.struct(*[F.col(n) for n in names]).alias("__row"),
     ).withColumn("__bucket", F.pmod(F.shiftright("__h", 7), F.lit(buckets)).cast("int"))
-    scattered = placed.repartition("__shard", "__bucket").groupBy("__shard", "__bucket").agg(F.array_sort(F.collect_list(F.struct("__h", "__row"))).alias("rows"))
+    scattered = placed.repartition(max(shards * buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))), "__shard", "__bucket").groupBy("__shard", "__bucket").agg(F.array_sort(F.collect_list(F.struct("__h", "__row"))).alias("rows"))
     permuted = scattered.select("__shard", "__bucket", F.posexplode(F.shuffle("rows", F.lit(seed))).alias("__at", "__x"))
     written = scratch.put(permuted.select("__shard", "__bucket", "__at", F.col("__x.__row").alias("__row")), "buckets")
     scratch.release()
@@ -60,7 +60,7 @@ def shard(
     if shards * buckets <= 200_000:
         sums = F.broadcast(sums)
     out = written.join(sums, ["__shard", "__bucket"])
-    return out.select(*[F.col(f"__row.{n}") for n in names], F.col("__shard").alias("shard"), (F.col("before") + F.col("__at")).alias("slot"))
+    return out.select(*[F.col(f"__row.`{c}`").alias(new) for c, new in apart(df.columns, ["shard", "slot"]).items()], F.col("__shard").alias("shard"), (F.col("before") + F.col("__at")).alias("slot"))
 
 
 def write_shards(spark: SparkSession, df: DataFrame, path: str, shards: int, key: str, **options) -> None:
