@@ -10,12 +10,17 @@ roles and texts a backslash becomes two and ``<|`` becomes ``<\\|``, in roles a
 text can hold a control string and :func:`unescape` gives the text back. ``loss`` holds (start, length) of
 the escaped assistant texts in code points, without their control strings.
 
-Defined cases: null roles and texts are empty; a node whose parent is missing or null is a root; equal scores
-rank by the smaller leaf; children of the same parent stay separate branches; an empty table gives no rows.
+Defined cases: null roles and texts are empty; a node whose parent is missing or null is a root; of rows that
+repeat a tree's node the smallest by (parent, role, text, score) holds; nodes on a cycle, or answering one, reach
+no root and are in no path; equal scores rank by the smaller leaf; children of the same parent stay separate
+branches; a null tree is a tree; texts of any length are formatted whole; an empty table gives no rows; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import Scratch
@@ -40,25 +45,39 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit(NEWLINE), F.lit("\n")))
 
 
+def _nodes(nodes: DataFrame) -> DataFrame:
+    """One row per node of a tree."""
+    rest = F.struct("parent", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    return nodes.where("node is not null").groupBy("tree", "node").agg(F.min(rest).alias("x")).select("tree", "node", "x.*")
+
+
 def tree_paths(spark: SparkSession, nodes: DataFrame, best: int | None = None) -> DataFrame:
     """(tree, leaf, rank, path_score, depth, node): nodes of the ``best`` paths of each tree, ``depth`` from 0 at the root.
 
-    ``nodes`` has tree, node, parent (node numbers within the tree) and score; all paths if ``best`` is None.
+    ``nodes`` has tree, node, parent (node numbers within the tree), role, text and score; all paths if ``best`` is None.
     """
     scratch = Scratch(spark, "chat")
-    own = nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    return _paths(scratch, scratch.put(_nodes(nodes), "nodes"), best)
+
+
+def _paths(scratch: Scratch, own: DataFrame, best: int | None) -> DataFrame:
     known = own.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     base = own.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n")), "left").select("tree", "node", F.col("n").alias("up"), "score")
     # jump tables: level i leads 2**i nodes towards the root; null above it
-    state = scratch.put(base.select("tree", "node", "up", F.col("score").alias("gain"), F.lit(1).alias("steps")), "jump0")
+    state = scratch.put(base.select("tree", "node", "up", F.col("score").alias("gain"), F.lit(1).cast("long").alias("steps")), "jump0")
     levels = [state]
-    while state.where("up is not null").limit(1).count():
+    # no path is longer than the largest tree has nodes: what still leads upwards after so many rounds is on a cycle or below one
+    most = own.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    for _ in range(max(1, math.ceil(math.log2(most)) + 1)):
+        if not state.where("up is not null").limit(1).count():
+            break
         far = state.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("gain").alias("gain2"), F.col("steps").alias("steps2"))
         state = state.join(far, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left").select(
             "tree", "node", F.col("up2").alias("up"), (F.col("gain") + F.coalesce("gain2", F.lit(0.0))).alias("gain"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")
         )
         state = scratch.put(state, "jump")
         levels.append(state)
+    state = state.where("up is null")
     parents = levels[0].where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("p")).distinct()
     leaves = state.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
     leaves = leaves.select("tree", F.col("node").alias("leaf"), F.col("gain").alias("path_score"), (F.col("steps") - 1).alias("last"))
@@ -75,7 +94,9 @@ def tree_paths(spark: SparkSession, nodes: DataFrame, best: int | None = None) -
 
 def format_conversations(spark: SparkSession, nodes: DataFrame, best: int | None = None, trained: str = "assistant") -> DataFrame:
     """(tree, leaf, rank, path_score, formatted, loss): one row per chosen path."""
-    paths = tree_paths(spark, nodes, best)
+    scratch = Scratch(spark, "chat")
+    nodes = scratch.put(_nodes(nodes), "nodes")
+    paths = _paths(scratch, nodes, best)
     said = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), escape_role(F.col("role")).alias("r"), escape(F.col("text")).alias("x"), (F.coalesce("role", F.lit("")) == trained).alias("m"))
     rows = paths.join(said, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
     turns = rows.groupBy("tree", "leaf", "rank", "path_score").agg(F.array_sort(F.collect_list(F.struct("depth", "r", "x", "m"))).alias("turns"))

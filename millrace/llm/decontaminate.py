@@ -11,8 +11,9 @@ Words are runs of ASCII letters and digits and all non-ASCII characters, A-Z in
 broadcast comes from the benchmark and is counted first; a larger benchmark is joined by shuffles.
 
 Defined cases: null and word-free texts have no words and no hits; items without words match nothing; rows
-that repeat a doc_id or an item_id are separate documents and one item; a null item_id is left out of the
-list of items; other columns are not read.
+that repeat a doc_id or an item_id are separate documents and one item, and equal rows get equal results; a
+null item_id is left out of the list of items; very long texts are searched whole; empty tables give no rows or no hits;
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -65,15 +66,23 @@ def lookups(wins: DataFrame, freq: DataFrame, terms: int = 2) -> DataFrame:
     return ranked.where(F.col("rank") <= terms).select("win", "terms", "rank", "term", "off")
 
 
-def postings(docs_words: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
+def postings(docs_words: DataFrame, terms: DataFrame, reach: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """The positional index of the given words: (term, row, pos, near, at): ``near`` holds the words up to ``reach`` away,
-    the posting's own at place ``at`` (from 0)."""
-    each = docs_words.select("row", "w", F.posexplode("w").alias("pos", "term")).join(terms, "term", "left_semi")
-    first = F.greatest(F.col("pos") - reach, F.lit(0))
-    return each.select("term", "row", "pos", F.slice("w", first + 1, F.col("pos") - first + reach + 1).alias("near"), (F.col("pos") - first).alias("at"))
+    the posting's own at place ``at`` (from 0).
 
+    Up to ``limit`` words are broadcast and each text is looked through where it lies. More words meet the texts' words by a
+    shuffle of places alone, and the places found fetch their neighbourhoods from their texts in a second one."""
+    near = lambda pos: F.slice("w", F.greatest(pos - reach, F.lit(0)) + 1, F.least(pos, F.lit(reach)) + reach + 1)
+    if terms.limit(limit + 1).count() <= limit:
+        each = docs_words.select("row", "w", F.posexplode("w").alias("pos", "term")).join(F.broadcast(terms), "term", "left_semi")
+    else:
+        places = docs_words.select("row", F.posexplode("w").alias("pos", "term")).join(terms, "term", "left_semi").distinct()
+        found = places.groupBy("row").agg(F.collect_list(F.struct("pos", "term")).alias("found"))
+        each = docs_words.join(found, "row").select("row", "w", F.explode("found").alias("x")).select("row", "w", "x.pos", "x.term")
+    return each.select("term", "row", "pos", near(F.col("pos")).alias("near"), F.least("pos", F.lit(reach)).alias("at"))
 
-def phrase_matches(spark: SparkSession, docs: DataFrame, items: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
+
+def phrase_matches(spark: SparkSession, docs: DataFrame, items: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", limit: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """(matches, sizes): every occurrence (row, start, length, items) of a window, and (row, doc_id, n_words) of all documents.
 
     ``row`` tells documents apart (id and a hash of the text); ``start`` counts words from 0."""
@@ -81,21 +90,21 @@ def phrase_matches(spark: SparkSession, docs: DataFrame, items: DataFrame, size:
     w = _rows(docs, id_col, text_col)
     wins = scratch.put(windows(items, size, item_col, item_text), "windows")
     vocabulary = wins.select(F.explode("terms").alias("term")).distinct()
-    freq = scratch.put(term_counts(w, small(vocabulary, BROADCAST_ROWS)), "counts")
+    freq = scratch.put(term_counts(w, small(vocabulary, limit)), "counts")
     look = scratch.put(lookups(wins, freq), "lookups")
     sought = look.select("term").distinct()
-    index = scratch.put(postings(w, small(sought, BROADCAST_ROWS), size - 1), "postings")
+    index = scratch.put(postings(w, sought, size - 1, limit), "postings")
     sizes = scratch.put(w.select("row", "doc_id", F.size("w").cast("long").alias("n_words")), "sizes")
     scratch.release()
 
-    one = index.join(small(look.where("rank = 1"), BROADCAST_ROWS), "term")
+    one = index.join(small(look.where("rank = 1"), limit), "term")
     one = one.select("win", "terms", "row", (F.col("pos") - F.col("off")).alias("start"), "near", (F.col("at") - F.col("off")).alias("from")).where("from >= 0")
-    two = index.select("term", "row", "pos").join(small(look.where("rank = 2").select("term", "win", "off"), BROADCAST_ROWS), "term")
+    two = index.select("term", "row", "pos").join(small(look.where("rank = 2").select("term", "win", "off"), limit), "term")
     two = two.select("win", "row", (F.col("pos") - F.col("off")).alias("start")).distinct()
-    single = small(look.groupBy("win").agg(F.max("rank").alias("ranks")), BROADCAST_ROWS)
+    single = small(look.groupBy("win").agg(F.max("rank").alias("ranks")), limit)
     exact = one.where(F.slice("near", F.col("from") + 1, F.size("terms")) == F.col("terms")).join(single, "win")
     both = exact.where("ranks > 1").join(two, ["win", "row", "start"], "left_semi").unionByName(exact.where("ranks = 1"))
-    hits = both.select("win", "terms", "row", "start").join(small(wins, BROADCAST_ROWS), ["win", "terms"])
+    hits = both.select("win", "terms", "row", "start").join(small(wins, limit), ["win", "terms"])
     return hits.select("row", "start", F.size("terms").alias("length"), "items"), sizes
 
 
@@ -107,7 +116,7 @@ def proximity_matches(spark: SparkSession, docs: DataFrame, items: DataFrame, te
     freq = scratch.put(term_counts(w, small(own.select("term").distinct(), BROADCAST_ROWS)), "counts")
     rare = own.join(freq, "term", "left").withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("freq", F.lit(0)), "term")))
     look = rare.where(F.col("rank") <= terms).groupBy("item").agg(F.max(F.when(F.col("rank") == 1, F.col("term"))).alias("term"), F.collect_set("term").alias("need"))
-    index = postings(w, small(look.select("term").distinct(), BROADCAST_ROWS), reach).withColumn("doc_id", F.col("row.id"))
+    index = postings(w, look.select("term").distinct(), reach).withColumn("doc_id", F.col("row.id"))
     near = index.join(small(look, BROADCAST_ROWS), "term").where(F.size(F.array_except("need", "near")) == 0)
     return near.select("doc_id", F.col("item").alias("item_id"), "pos")
 

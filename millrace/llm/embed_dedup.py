@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, in_batches, small
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -157,7 +157,9 @@ def similar_embeddings(
         F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0)
         & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     )
-    rows = vectors.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("embedding"))
+    # what moves keeps single precision where the table has no more; cosines are of doubles in any case
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast(kind).alias("embedding"))
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False))).withColumn("h1", F.xxhash64("label", "embedding")).withColumn("h2", F.xxhash64(F.lit(2), "embedding", "label"))
     rows = scratch.put(rows, "rows")
     reps = rows.where("fine").groupBy("h1", "h2").agg(F.min(F.struct("rid", "label", "embedding")).alias("r"), F.count("*").alias("weight"), F.min("vec_id").alias("least"))
@@ -175,13 +177,13 @@ def similar_embeddings(
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         centroids[d] = spherical_kmeans(x, max(1, min(max_cells, len(x), math.ceil(n / per_cell))))
     distance = math.sqrt(max(0.0, 2 - 2 * threshold))
-    placed = reps.select("rid", "label", "dims", "weight", "embedding").mapInArrow(
-        _cells(spark.sparkContext.broadcast(centroids), distance), "rid long, label string, dims int, weight long, embedding array<double>, cell int, home boolean"
+    placed = in_batches(
+        reps.select("rid", "label", "dims", "weight", "embedding"), _cells(spark.sparkContext.broadcast(centroids), distance), f"rid long, label string, dims int, weight long, embedding {kind}, cell int, home boolean"
     )
     placed = scratch.put(placed, "cells")
     sizes = placed.groupBy("label", "dims", "cell").agg(F.sum(F.col("home").cast("int")).alias("homes"), F.sum((~F.col("home")).cast("int")).alias("visits"))
     sizes = sizes.select("label", "dims", "cell", F.ceil(F.col("homes") / block).cast("int").alias("nh"), F.ceil(F.col("visits") / block).cast("int").alias("nv")).where("nh > 0")
-    dealt = placed.join(sizes, ["label", "dims", "cell"])
+    dealt = placed.join(small(scratch.put(sizes, "sizes"), 200_000), ["label", "dims", "cell"])
     own = F.pmod(F.xxhash64("rid", "cell"), F.when(F.col("home"), F.col("nh")).otherwise(F.col("nv"))).cast("int")
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     job = lambda kind, i, j: F.concat_ws("|", "label", "dims", "cell", F.lit(kind), i, j)
@@ -192,7 +194,7 @@ def similar_embeddings(
     )
     away = F.transform(upto(F.col("nh")), lambda o: F.struct(job("v", o, F.col("own")).alias("job"), F.lit(1).alias("side"), F.lit(False).alias("same")))
     jobs = dealt.select("rid", "weight", "embedding", F.explode(F.when(F.col("home"), at_home).otherwise(away)).alias("x")).select("x.job", "x.side", "x.same", "rid", "weight", "embedding")
-    found = scratch.put(jobs.repartition("job").sortWithinPartitions("job").mapInArrow(_compare(threshold), "a long, b long, n long"), "found")
+    found = scratch.put(in_batches(jobs.repartition("job").sortWithinPartitions("job"), _compare(threshold), "a long, b long, n long", 10_000), "found")
     labels = components(scratch, found.where("b is not null").select("a", "b"))
     counts = found.where("b is null").groupBy(F.col("a").alias("rid")).agg(F.sum("n").alias("n"))
     known = reps.select("h1", "h2", "rid", "weight", "least").join(counts, "rid", "left").join(labels.withColumnRenamed("node", "rid"), "rid", "left")

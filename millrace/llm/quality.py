@@ -12,8 +12,8 @@ Labels only teach rows whose crc32 of the id as text is not a multiple of ``HELD
 id are never features. Defined cases: null and empty texts have the features of no words and are scored too; with
 no usable label or only one class every score is that class's smoothed share (0.5 without any); a null id is
 never learnt from and counts as held out; null labels are ignored, and of several labels of an id the smallest holds;
-other columns are
-passed on.
+texts of any length are scored whole, in parts of a fixed number of words; an empty table gives no rows; other
+columns are passed on, one with the name of an added column under that name with an underscore behind it.
 """
 
 from __future__ import annotations
@@ -22,13 +22,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import small_batches
+from .common import apart, in_batches
 from .packing import ALNUM, PUNCT
-from .vectext import FOLD, WHITE, chunks, mix, prefix_hash, words
+from .vectext import WHITE, chunks, word_hashes
 
 BUCKETS, DIMS, NONZERO, REACH = 1 << 14, 32, 2, 2
 HELD_OUT, SAMPLE, HIDDEN, THRESHOLD = 5, 20_000, 32, 0.3
 RANGES = 16
+#: Words worked on at a time, whatever a text's length.
+PART = 1 << 16
+#: The columns that the operator adds.
+OWN = ["held_out", "score", "predicted"]
 
 
 def index_vectors(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -38,9 +42,8 @@ def index_vectors(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
 
 
 def buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    start, end, row = words(data, offsets, WHITE, PUNCT, ALNUM)
-    sums, down = prefix_hash(FOLD[data])
-    return (mix((sums[end] - sums[start]) * down[start]) >> np.uint64(50)).astype(np.int64), row
+    h, row = word_hashes(data, offsets, WHITE, PUNCT, ALNUM)
+    return (h >> np.uint64(50)).astype(np.int64), row
 
 
 def _contexts(batches):
@@ -49,9 +52,10 @@ def _contexts(batches):
     for b in batches:
         for _, _, data, offsets in chunks(b.column(0)):
             w, row = buckets(data, offsets)
-            for away in range(1, REACH + 1):
-                same = row[away:] == row[:-away]
-                x, y = w[:-away][same], w[away:][same]
+            for away, at in ((d, a) for d in range(1, REACH + 1) for a in range(0, len(w) - d, PART)):
+                x, y = w[at : at + PART], w[at + away : at + away + PART]
+                same = row[at : at + len(y)] == row[at + away : at + away + PART]
+                x, y = x[: len(y)][same], y[same]
                 for one, other in ((x, y), (y, x)):
                     for k in range(NONZERO):
                         total += np.bincount(one * DIMS + dims[other, k], weights=signs[other, k], minlength=BUCKETS * DIMS)
@@ -71,7 +75,7 @@ def _add(batches):
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """The BUCKETS x DIMS word vectors over all documents, a fixed 2 MB."""
-    sums = docs.select(text_col).mapInArrow(_contexts, "part int, sums binary").repartition(RANGES, "part").mapInArrow(_add, "part int, sums binary")
+    sums = in_batches(in_batches(docs.select(F.col(text_col).alias("text")), _contexts, "part int, sums binary").repartition(RANGES, "part"), _add, "part int, sums binary")
     v = np.zeros(BUCKETS * DIMS)
     for r in sums.collect():  # RANGES rows of fixed size
         a = r["part"] * len(v) // RANGES
@@ -88,18 +92,18 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 def pooled(col: pa.Array, v: np.ndarray) -> np.ndarray:
     """One row of features per text: mean and spread of its words' vectors, logarithm of its length."""
     parts = [np.zeros((0, 2 * DIMS + 1))]
-    for i, j, data, offsets in chunks(col, 1 << 20):
+    for i, j, data, offsets in chunks(col):
         w, row = buckets(data, offsets)
         n = np.bincount(row, minlength=j - i).astype(np.float64)
         out = np.zeros((j - i, 2 * DIMS + 1))
-        if len(w):
-            got = v[w]
-            has = np.flatnonzero(n)
-            first = np.searchsorted(row, has)
-            mean = np.add.reduceat(got, first, axis=0) / n[has, None]
-            square = np.add.reduceat(got * got, first, axis=0) / n[has, None]
-            out[has, :DIMS] = mean
-            out[has, DIMS:-1] = np.sqrt(np.maximum(square - mean * mean, 0))
+        for a in range(0, len(w), PART):
+            got, r = v[w[a : a + PART]], row[a : a + PART]
+            first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+            out[r[first], :DIMS] += np.add.reduceat(got, first, axis=0)
+            out[r[first], DIMS:-1] += np.add.reduceat(got * got, first, axis=0)
+        has = np.flatnonzero(n)
+        out[has, :-1] /= n[has, None]
+        out[has, DIMS:-1] = np.sqrt(np.maximum(out[has, DIMS:-1] - out[has, :DIMS] ** 2, 0))
         out[:, -1] = np.log1p(n)
         parts.append(out)
     return np.concatenate(parts)
@@ -179,22 +183,20 @@ def learn_part(id_col: str = "doc_id"):
 
 def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """``docs`` plus ``held_out``, ``score`` (0 to 1) and ``predicted`` (1 if the score reaches the threshold)."""
-    small_batches(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     vectors = spark.sparkContext.broadcast(word_vectors(slim))
 
     taught = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
     taught = taught.where("y in (0, 1) and doc_id is not null").where(learn_part("doc_id") != 0).groupBy("doc_id").agg(F.min("y").alias("y"))
     taught = taught.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(SAMPLE)  # so at most SAMPLE rows are broadcast
-    got = slim.join(F.broadcast(taught), "doc_id").select("y", "h", "text").mapInArrow(_features(vectors), "y int, h long, features binary")
+    got = in_batches(slim.join(F.broadcast(taught), "doc_id").select("y", "h", "text"), _features(vectors), "y int, h long, features binary")
     sample = got.orderBy("h", "y", "features").limit(SAMPLE).collect()
     x = np.array([np.frombuffer(r["features"]) for r in sample]).reshape(-1, 2 * DIMS + 1)
     y = np.array([r["y"] for r in sample], np.int64)
     model = spark.sparkContext.broadcast(Network(x, y) if len(y) else _nothing())
 
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    packed = docs.select(F.struct(*names).alias("row"), F.col(text_col).alias("text"))
-    out = packed.mapInArrow(_score(vectors, model), f"row {packed.schema['row'].dataType.simpleString()}, score double")
-    out = out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("score").alias("score"))
-    held = F.coalesce(learn_part(id_col) == 0, F.lit(True))
-    return out.select(*names, held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    names = apart(docs.columns, OWN)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    out = in_batches(packed, _score(vectors, model), f"row {packed.schema['row'].dataType.simpleString()}, score double")
+    held = F.coalesce(learn_part(f"row.{id_col}") == 0, F.lit(True))
+    return out.select(*[F.col(f"row.`{c}`").alias(new) for c, new in names.items()], held.alias("held_out"), F.col("score"), (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
