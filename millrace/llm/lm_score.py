@@ -10,15 +10,16 @@ text that only this document holds backs off instead of vouching for itself.
   log(c(a b) / c(a)); else log(backoff * c(b) / N); a word seen nowhere else counts as ``unseen`` occurrences.
   Sums per document give the mean.
 
-Work goes in passes, each with its own shuffles that are released before the next, so the disk needed at a
-time is a fraction of all bigrams: documents are scored in ``slices`` parts, each document's bigrams formed once, and
-bigrams are counted by hash in a pass for every ``together`` of that number. Joins are on
-hashes, with the count table, one row a key, as the side that is held by partition. A bigram's hash and its second word give the first word back, so the rows that travel hold two hashes. Words are
+Bigrams and words are counted in one pass over the texts. Documents are scored in ``slices`` parts, each document's
+bigrams formed once, with shuffles that are released before the next part, so the disk needed at a time is a fraction of
+all bigrams. Joins are on hashes, with the count table, one row a key, as the side that is held by partition; the
+FREQUENT most frequent words' counts are broadcast, so only rows of rarer words move for a word's count. A bigram's
+hash and its second word give the first word back, so the rows that travel hold two hashes. Words are
 runs without ASCII white space, A-Z in lower case; every document starts with a boundary word.
 
 Defined cases: null and word-free texts have no tokens and a null score; rows that repeat an id with equal text
 are one document to the model (their counts are taken off together) and have the same score; an empty table
-gives no rows; other columns are not read.
+gives no rows; very long texts are scored whole; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -27,10 +28,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import Scratch, small_batches
+from .common import Scratch, in_batches
 from .vectext import WHITE, chunks, mix, word_hashes
 
 BOUNDARY = np.uint64(0x5DEECE66D1234567)
+#: Tokens counted at a time, and the words whose counts are broadcast.
+TOGETHER, FREQUENT = 1 << 21, 1 << 16
 
 
 def _follow(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,56 +73,55 @@ def _bigrams(batches):
             )
 
 
-def _words(batches):
-    """Rows (w, n) of a chunk's words, the boundary once per document with words."""
-    for batch in batches:
-        for _, _, data, offsets in chunks(batch.column("text"), 8 << 20):
-            h, row = word_hashes(data, offsets, WHITE)
-            w, n = np.unique(h, return_counts=True)
-            docs = len(np.unique(row))
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(w, BOUNDARY).view(np.int64)), pa.array(np.append(n, docs))], names=["w", "c"])
-
-
-def _pairs(passes: int, part: int):
-    """Rows (g, c) of a chunk's bigrams in one part of the hash space, summed over its documents."""
-
-    def run(batches):
-        for batch in batches:
-            for _, _, data, offsets in chunks(batch.column("text"), 8 << 20):
-                h, row = word_hashes(data, offsets, WHITE)
-                if not len(h):
-                    continue
-                g = _follow(h, row)[0]
-                g, n = np.unique(g[(g >> np.uint64(40)) % np.uint64(passes) == part], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], names=["g", "c"])
-
-    return run
+def _counts(batches):
+    """Rows (kind, k, c): bigrams and, with a true ``kind``, words, summed over runs of TOGETHER tokens; the boundary counts once per
+    document with words."""
 
+    def summed(grams, hashes, docs):
+        for kind, keys, more in ((False, grams, 0), (True, hashes, docs)):
+            k, c = np.unique(np.concatenate(keys), return_counts=True)
+            if more:
+                k, c = np.append(k, BOUNDARY), np.append(c, more)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind)), pa.array(k.view(np.int64)), pa.array(c)], names=["kind", "k", "c"])
 
-def lm_scores(spark: SparkSession, docs: DataFrame, backoff: float = 0.4, unseen: float = 0.5, slices: int = 6, together: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    grams, hashes, docs, held = [], [], 0, 0
+    for batch in batches:
+        for _, _, data, offsets in chunks(batch.column("text")):
+            h, row = word_hashes(data, offsets, WHITE)
+            if not len(h):
+                continue
+            grams.append(_follow(h, row)[0])
+            hashes.append(h)
+            docs += len(np.unique(row))
+            held += len(h)
+            if held >= TOGETHER:
+                yield from summed(grams, hashes, docs)
+                grams, hashes, docs, held = [], [], 0, 0
+    if held:
+        yield from summed(grams, hashes, docs)
+
+
+def lm_scores(spark: SparkSession, docs: DataFrame, backoff: float = 0.4, unseen: float = 0.5, slices: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_seen, score): tokens, tokens whose bigram another document has, and the mean log score."""
-    small_batches(spark)
     scratch = Scratch(spark, "lm")
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
     repeated = ids.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count() > 0
     tf = F.xxhash64(text_col) if repeated else F.lit(0).cast("long")  # texts tell rows apart only where ids do not
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), tf.alias("tf"), F.col(text_col).alias("text"))
     once = slim.where("text is not null")
-    words = scratch.put(once.select("text").mapInArrow(_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "words")
+    counts = in_batches(once.select("text"), _counts, "kind boolean, k long, c long").groupBy("kind", "k").agg(F.sum("c").alias("c")).where("kind or c > 1")
+    counts = scratch.put(counts, "counts")
+    words, pairs = counts.where("kind").select(F.col("k").alias("w"), "c"), counts.where("not kind").select(F.col("k").alias("g"), F.col("c").alias("cg"))
     total = words.where(F.col("w") != int(np.int64(BOUNDARY))).agg(F.sum("c")).first()[0] or 0
+    # most tokens are frequent words: their counts are looked up where the rows lie, FREQUENT rows at most
+    frequent = F.broadcast(scratch.put(words.orderBy(F.desc("c"), "w").limit(FREQUENT).withColumnRenamed("c", "cf"), "frequent"))
     if repeated:
         copies = scratch.put(slim.groupBy("doc_id", "tf").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
     scratch.release()
-    passes = -(-slices // together)
-    for k in range(passes):
-        counted = once.select("text").mapInArrow(_pairs(passes, k), "g long, c long").groupBy("g").agg(F.sum("c").alias("cg")).where("cg > 1")
-        counted = scratch.put(counted, f"pairs{k}")
-        pairs = pairs.union(counted) if k else counted
-        scratch.release()
     parts = []
     for k in range(slices):
         mine = once.where(F.pmod(F.xxhash64("doc_id", "tf"), F.lit(slices)) == k)
-        rows = mine.mapInArrow(_bigrams, "doc_id long, tf long, g long, b long, n int, na int, nb int")
+        rows = in_batches(mine, _bigrams, "doc_id long, tf long, g long, b long, n int, na int, nb int")
         if repeated:
             c = copies.select(F.col("doc_id").alias("d"), F.col("tf").alias("t"), "copies")
             rows = rows.join(c, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tf") == F.col("t")), "left").withColumn("m", F.coalesce("copies", F.lit(1))).drop("d", "t", "copies")
@@ -128,12 +130,15 @@ def lm_scores(spark: SparkSession, docs: DataFrame, backoff: float = 0.4, unseen
         met = rows.join(pairs.hint("shuffle_hash"), "g", "left").withColumn("others", F.coalesce("cg", F.lit(0)) - F.col("n") * F.col("m"))
         seen = F.col("others") > 0
         asked = met.select("doc_id", "tf", "n", "m", "others", F.when(seen, _first_word(F.col("g"), F.col("b"))).otherwise(F.col("b")).alias("w"), F.when(seen, F.col("na")).otherwise(F.col("nb")).alias("own"))
-        known = asked.join(words.hint("shuffle_hash"), "w")
+        met = asked.join(frequent, "w", "left")
+        rare = met.where("cf is null").join(words.hint("shuffle_hash"), "w").drop("cf")
+        known = met.where("cf is not null").withColumnRenamed("cf", "c").unionByName(rare)
+        seen = F.col("others") > 0
         rest = F.col("c") - F.col("own") * F.col("m")
         each = F.when(seen, F.log(F.col("others") / F.greatest(rest, F.col("others")))).otherwise(F.log(F.lit(backoff) * F.greatest(rest.cast("double"), F.lit(unseen)) / F.lit(float(max(total, 1)))))
         sums = known.groupBy("doc_id", "tf").agg(F.sum(F.col("n") * each).alias("s"), F.sum("n").alias("t"), F.sum(F.when(seen, F.col("n")).otherwise(0)).alias("v"))
         parts.append(scratch.put(sums, f"slice{k}"))
-        del mine, rows, met, asked, known, sums
+        del mine, rows, met, asked, rare, known, sums
         scratch.release()
     every = parts[0]
     for p in parts[1:]:
