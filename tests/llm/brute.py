@@ -81,3 +81,36 @@ def lines(rows, least=10):
         keep = [x for x in parts if len(key(x)) < least or len(held[key(x)]) < 2 or min(held[key(x)]) == d]
         out[d] = (len(parts), len(parts) - len(keep), sha("\n".join(keep)))
     return out
+
+
+def lm(rows, backoff=0.4, unseen=0.5):
+    """Bigram scores of each document against all others, equal rows being one document."""
+    import math
+    from collections import Counter
+
+    word, texts = Counter(), {}
+    copies = Counter(rows)
+    grams = lambda w: list(zip([None, *w], w))
+    pair, first, total = Counter(), Counter(), 0
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", fold(t))
+        texts[d, t] = w
+        pair.update(grams(w))
+        word.update(w)
+        total += len(w)
+        first[None] += bool(w)
+    out = {}
+    for (d, t), w in texts.items():
+        m = copies[d, t]
+        mine, own = Counter(grams(w)), Counter(w)
+        s = seen = 0
+        for (a, b), n in mine.items():
+            others = pair[a, b] - n * m
+            if others > 0:
+                rest = (first[None] - m) if a is None else word[a] - own[a] * m
+                s += n * math.log(others / max(rest, others))
+                seen += n
+            else:
+                s += n * math.log(backoff * max(word[b] - own[b] * m, unseen) / max(total, 1))
+        out[d] = (len(w), seen, s / len(w) if w else None)
+    return out
