@@ -386,11 +386,16 @@ def _inverted(spark, d):
 _TYPES = "SELECT event_type, count(*) AS n, round(sum(value), 4) AS s FROM events GROUP BY 1"
 
 
+def _logged(spark, d, partition) -> DataFrame:
+    """All events, logged in the first hour of their day: few folders for tables this small."""
+    return t(spark, d, "events").withColumn("p", partition).withColumn("logged", F.date_trunc("day", "ts"))
+
+
 @query("log_incremental", _TYPES)
 def _log(spark, d):
     """Events as an hourly log, loaded in steps whose results and positions commit together."""
     path, root = shared_path(spark, "log"), shared_path(spark, "loaded")
-    write_log(t(spark, d, "events").withColumn("p", F.col("event_id") % 2).repartition(2, "p"), path, "ts", "p")
+    write_log(_logged(spark, d, F.col("event_id") % 2).repartition(2, "p"), path, "logged", "p")
     loader = LogLoader(spark, root, {"types": lambda b: b.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("s"))})
     loader.run(path, files_per_step=500)
     return loader.read("types").groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("s"), 4).alias("s"))
@@ -400,10 +405,10 @@ def _log(spark, d):
 def _log_stream(spark, d):
     """The same by a stream with a checkpoint."""
     path, root = shared_path(spark, "log"), shared_path(spark, "loaded")
-    events = t(spark, d, "events")
-    write_log(events.withColumn("p", F.col("event_id") % 2).repartition(2, "p"), path, "ts", "p")
+    events = _logged(spark, d, F.col("event_id") % 2)
+    write_log(events.repartition(2, "p"), path, "logged", "p")
     loader = LogLoader(spark, root, {"types": lambda b: b.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("s"))})
-    loader.stream(path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema.fields) + ", p long", files_per_batch=500)
+    loader.stream(path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema.fields), files_per_batch=500)
     return loader.read("types").groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("s"), 4).alias("s"))
 
 
@@ -411,9 +416,9 @@ def _log_stream(spark, d):
 def _log_resume(spark, d):
     """Three appends to the same hours, each read from the position that the read before it returned."""
     path, position, parts = shared_path(spark, "log"), None, []
-    rows = t(spark, d, "events").withColumn("p", F.lit("a"))
+    rows = _logged(spark, d, F.lit("a"))
     for k in range(3):
-        write_log(rows.where(F.pmod("event_id", F.lit(3)) == k), path, "ts", "p", remainder=0 if k == 2 else None)
+        write_log(rows.where(F.pmod("event_id", F.lit(3)) == k), path, "logged", "p", remainder=0 if k == 2 else None)
         part, position = read_log(spark, path, "a", position)
         parts.append(part.select("event_type"))
     last, _ = read_log(spark, path, "a", settle(position, "9999"))
@@ -425,7 +430,7 @@ def _log_resume(spark, d):
 @query("log_read", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def _log_read(spark, d):
     path = shared_path(spark, "log")
-    write_log(t(spark, d, "events").withColumn("p", F.lit("a")), path, "ts", "p", prefix="x_", suffix="_y")
+    write_log(_logged(spark, d, F.lit("a")), path, "logged", "p", prefix="x_", suffix="_y")
     return read_log(spark, path, "a", prefix="x_", suffix="_y")[0].groupBy("event_type").agg(F.count("*").alias("n"))
 
 
@@ -433,7 +438,7 @@ def _log_read(spark, d):
 def _log_sql(spark, d):
     """SQL over a log folder; the partition is a folder, so the condition reads a quarter."""
     path = shared_path(spark, "log")
-    write_log(t(spark, d, "events").withColumn("p", F.col("event_id") % 4), path, "ts", "p")
+    write_log(_logged(spark, d, F.col("event_id") % 4), path, "logged", "p")
     Catalog(spark).add_log("log_item", path)
     return SqlEngine(spark).query("SELECT event_type, count(*) AS n, max(event_id) AS top FROM log_item WHERE part = ? GROUP BY event_type", [1])
 
