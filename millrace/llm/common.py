@@ -146,30 +146,35 @@ def apart(names: list[str], own: list[str]) -> dict[str, str]:
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, label): for every node of ``edges`` (a, b: long) the smallest node that it reaches.
 
-    Labels spread to neighbours and then jump to their label's label until nothing changes, so the
-    rounds grow with the logarithm of a component's diameter. Every round is an aggregate with
-    partial sums below a join that adaptive execution can split, so one hub with many links is no
+    Every round each node takes its smallest neighbour, if that is smaller, and jumps to its label's label until nothing
+    changes; then edges are drawn between labels, and those within one label or drawn twice go. So all edges
+    are joined once, and rounds, in each two of which half of the labels go, join what few are left. Every round is an aggregate with
+    partial sums or a join that adaptive execution can split, so one hub with many links is no
     single task's work. Nothing is gathered on the driver but a count of changes.
     """
-    both = scratch.put(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges"
-    )
-    labels = scratch.put(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
+    once = lambda df, x, y: df.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+    live, found = scratch.put(once(edges, "a", "b"), "edges"), None
     while True:
-        near = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("label").alias("near"))
-        )
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        step = scratch.put(step, "step")
-        over = step.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        jump = step.join(over, "label", "left").select("node", "old", F.coalesce("up", "label").alias("label"))
-        jump = scratch.put(jump, "jump")
-        scratch.drop(step)
-        scratch.drop(labels)
-        labels = jump.select("node", "label")
-        labels._millrace_path = jump._millrace_path
-        if jump.where("label <> old").limit(1).count() == 0:
-            scratch.drop(both)
-            return labels
+        both = live.union(live.select("b", "a"))
+        labels = scratch.put(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
+        changed = True
+        while changed:
+            over = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
+            jump = scratch.put(labels.join(over, "label").select("node", F.col("label").alias("old"), F.col("up").alias("label")), "jump")
+            scratch.drop(labels)
+            labels = jump.select("node", "label")
+            labels._millrace_path = jump._millrace_path
+            changed = jump.where("label <> old").limit(1).count() > 0
+        ends = live.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b")
+        left = scratch.put(once(ends, "la", "lb"), "edges")
+        scratch.drop(live)
+        if found is None:
+            found = labels
+        else:
+            next_ = scratch.put(found.join(labels.toDF("label", "up"), "label", "left").select("node", F.coalesce("up", "label").alias("label")), "found")
+            scratch.drop(found, labels)
+            found = next_
+        if not left.limit(1).count():
+            scratch.drop(left)
+            return found
+        live = left

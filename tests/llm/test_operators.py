@@ -279,6 +279,37 @@ def test_components(spark):
     assert got == {**{i: i // 20 * 20 for i in range(60)}, **{i: 100 for i in range(100, 160)}} | ({60: 40} if (59, 60) in edges else {})
 
 
+def rows_joined(spark, run):
+    """The rows that all joins of ``run``'s queries made, by Spark's own metrics."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    ids = lambda: {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    before = ids()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    total = 0
+    for x in ids() - before:
+        values, nodes = store.executionMetrics(x), store.planGraph(x).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = node.metrics() if "Join" in node.name() else store.executionsList().take(0)
+            for m in (metrics.apply(i) for i in range(metrics.size())):
+                if m.name() == "number of output rows" and (v := values.get(m.accumulatorId())).isDefined():
+                    total += int(v.get().replace(",", ""))
+    return total
+
+
+def test_components_join_edges_once(spark, tmp_path):
+    """Rounds that a long chain of dense groups takes do not join all its edges again."""
+    n, order = 1500, list(range(1500))
+    random.Random(4).shuffle(order)
+    edges = [(order[i], order[i + k]) for i in range(n) for k in range(1, 9) if i + k < n]
+    df = spark.createDataFrame(edges, "a long, b long")
+    df.write.parquet(f"{tmp_path}/edges")
+    df, got = spark.read.parquet(f"{tmp_path}/edges"), []
+    made = rows_joined(spark, lambda: got.extend(common.components(common.Scratch(spark, "t"), df).collect()))
+    assert {r["node"]: r["label"] for r in got} == dict.fromkeys(range(n), 0)
+    assert 2 * len(edges) <= made <= 4 * len(edges)
+
+
 def thue_morse(n):
     return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
 
