@@ -15,10 +15,12 @@ holds a sampled suffix, and equal strings hold it at the same place.
   whose core occurs once is settled too. Equal suffixes of one task are settled before the sort.
 * What is left, the first suffix of each reach of a core with several, is split into two halves of its windows,
   named and sorted again; so after the logarithm of ``length - seed`` rounds every core is one window.
+* Halves of one core's suffixes only meet each other. So these suffixes are dealt once, by core, with their bytes, and one
+  task takes them through all rounds. Only a core with more than ``HOT`` of them is sorted by Spark in every round.
 
-There is one path for groups of every size. Everything is sorted by Spark, which spills; a core with more than
-``HOT`` suffixes is dealt out by reach, since all its firsts stay anyway. Python holds an Arrow batch or a run of
-``FLUSH`` suffixes. Names are 64-bit hashes of whole strings.
+Sampled suffixes are sorted by Spark, which spills; a core with more than ``HOT`` suffixes is dealt out by reach in
+the rounds, since all its firsts stay anyway. Python holds an Arrow batch, a run of ``FLUSH`` sampled suffixes, or
+``LOCAL`` left ones with a batch and a core more. Names are 64-bit hashes of whole strings.
 
 Defined cases: null and empty texts have no bytes; a null doc_id sorts last; rows that repeat an id are taken
 in the order of a hash of their text, and equal rows count as one document; a very long text is sampled in
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import Scratch, in_batches, small
 from .vectext import buffers, chunks, eights, mix, ragged, slice_hash
 
-SEED, FLUSH, HOT, PART = 32, 1 << 18, 4096, 1 << 18
+SEED, FLUSH, LOCAL, HOT, PART = 32, 1 << 18, 1 << 15, 4096, 1 << 18
 _FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 KEYS = ["m", "c", "doc", "tf", "pos"]
@@ -218,7 +220,8 @@ def _reaches(length: int, seed: int):
             data, offsets = buffers(b.column("text"))
             at = b.column("found")
             n = np.diff(at.offsets.to_numpy())
-            pos = at.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = at.flatten()
+            pos = flat.field("pos").to_numpy(zero_copy_only=False).astype(np.int64)
             owner = np.repeat(np.arange(b.num_rows), n)
             lo = np.maximum(pos - (length - seed), 0)
             hi = np.minimum(pos + length, (offsets[1:] - offsets[:-1])[owner])
@@ -227,13 +230,79 @@ def _reaches(length: int, seed: int):
             reach = pa.Array.from_buffers(pa.binary(), len(pos), [None, ends, pa.py_buffer(raw)])
             own = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc").take(own), b.column("tf").take(own), pa.array(pos.astype(np.int32)), pa.array((pos - lo).astype(np.int32)), pa.array(np.zeros(len(pos), np.int32)), pa.array(np.full(len(pos), length - seed, np.int32)), reach],
-                names=["doc", "tf", "pos", "at", "first", "last", "ctx"],
+                [b.column("doc").take(own), b.column("tf").take(own), pa.array(pos.astype(np.int32)), pa.array((pos - lo).astype(np.int32)), pa.array(np.zeros(len(pos), np.int32)), pa.array(np.full(len(pos), length - seed, np.int32)), reach, flat.field("m")],
+                names=["doc", "tf", "pos", "at", "first", "last", "ctx", "m"],
             )
 
     return run
 
 
+def _halves(data: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray, one: np.ndarray, two: np.ndarray, room: int, seed: int):
+    """(row, first, last, least, most, core name, reach name) of each half of the windows ``one`` to ``two`` bytes before suffixes.
+
+    A suffix's seed stands ``at`` bytes into its ``size`` bytes of context from ``start``; its reach allows ``least`` to ``most``."""
+    right = size - at - seed  # bytes beyond the seed
+    middle = (one + two) // 2
+    for a, z in ((one, middle), (middle + 1, two)):
+        least, most = np.maximum(a, room - right), np.minimum(z, at)
+        own = np.flatnonzero((a <= z) & (least <= most))
+        a, z, least, most = (x[own] for x in (a, z, least, most))
+        place = start[own] + at[own]
+        name = lambda x, y: slice_hash(data, place - x, place + seed + room - y)
+        m = mix(name(a, z) + (a * 1024 + z).astype(np.uint64) * _ODD).view(np.int64)
+        c = mix(name(most, least) + (least * 1024 + most).astype(np.uint64) * _ODD).view(np.int64)
+        yield own, a, z, least, most, m, c
+
+
+def _refine(length: int, seed: int):
+    """Over rows (m, doc, tf, pos, at, ctx) sorted by m: the spans of all rounds; a core's rows are one task's."""
+    room = length - seed
+
+    def settle(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        data, offsets = buffers(b.column("ctx"))
+        start, size = offsets[:-1], np.diff(offsets)
+        at, pos, doc, tf = (b.column(x).to_numpy().astype(np.int64) for x in ("at", "pos", "doc", "tf"))
+        rank = np.empty(b.num_rows, np.int64)
+        rank[np.lexsort((pos, tf, doc))] = np.arange(b.num_rows)
+        row, one, two = np.arange(b.num_rows), np.zeros(b.num_rows, np.int64), np.full(b.num_rows, room)
+        gone, lows, highs = [], [], []
+        while len(row):
+            halves = [(row[own], *rest) for own, *rest in _halves(data, start[row], size[row], at[row], one, two, room, seed)]
+            row, one, two, least, most, m, c = (np.concatenate(x) for x in zip(*halves))
+            order = np.lexsort((rank[row], c, m))
+            row, one, two, least, most, m, c = (x[order] for x in (row, one, two, least, most, m, c))
+            new_m = np.concatenate(([True], m[1:] != m[:-1]))[: len(m)]
+            new_c = new_m | np.concatenate(([True], c[1:] != c[:-1]))[: len(m)]
+            again = ~new_c
+            gone.append(row[again])
+            lows.append(pos[row[again]] - most[again])
+            highs.append(lows[-1] + length + (most - least)[again])
+            core = np.cumsum(new_m) - 1
+            left = new_c & (np.bincount(core, new_c) > 1)[core] if len(core) else new_c
+            row, one, two = row[left], one[left], two[left]
+        gone = np.concatenate(gone)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[gone], tf[gone], np.concatenate(lows).astype(np.int32), np.concatenate(highs).astype(np.int32))], names=["doc", "tf", "lo", "hi"])
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            n += b.num_rows
+            m = b.column("m").to_numpy()
+            cut = int(np.searchsorted(m, m[-1]))
+            if n >= LOCAL and cut:
+                held[-1] = b.slice(0, cut)
+                yield settle(held)
+                held, n = [b.slice(cut)], b.num_rows - cut
+        if held:
+            yield settle(held)
+
+    return run
+
+
 def _halve(length: int, seed: int):
     """Rows as in ROW with (at, first, last, ctx) of each half of a suffix's windows ``first`` to ``last`` bytes before it."""
     room = length - seed
@@ -245,18 +314,9 @@ def _halve(length: int, seed: int):
             data, offsets = buffers(b.column("ctx"))
             data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
             at, one, two, pos, doc, tf = (b.column(x).to_numpy().astype(np.int64) for x in ("at", "first", "last", "pos", "doc", "tf"))
-            right = np.diff(offsets) - at - seed  # bytes beyond the seed
-            middle = (one + two) // 2
-            for a, z in ((one, middle), (middle + 1, two)):
-                least, most = np.maximum(a, room - right), np.minimum(z, at)
-                own = np.flatnonzero((a <= z) & (least <= most))
+            for own, a, z, least, most, m, c in _halves(data, offsets[:-1], np.diff(offsets), at, one, two, room, seed):
                 if not len(own):
                     continue
-                a, z, least, most = (x[own] for x in (a, z, least, most))
-                place = offsets[:-1][own] + at[own]
-                name = lambda x, y: slice_hash(data, place - x, place + seed + room - y)
-                m = mix(name(a, z) + (a * 1024 + z).astype(np.uint64) * _ODD).view(np.int64)
-                c = mix(name(most, least) + (least * 1024 + most).astype(np.uint64) * _ODD).view(np.int64)
                 order, again = _first_of_reach(m, c, doc[own], tf[own], pos[own])
                 low = np.full(len(own), -1)
                 low[order[again]] = (pos[own] - most)[order[again]]
@@ -303,12 +363,25 @@ def repeated_spans(slim: DataFrame, scratch: Scratch, length: int, seed: int, ho
     """Tables (doc, tf, lo, hi) of spans to remove, overlapping ones too."""
     suffixes = in_batches(slim.where(F.octet_length("text") >= length), _sample(length, seed), ROW)
     sorted_ = suffixes.repartition("m").sortWithinPartitions(*KEYS)
-    done = scratch.put(in_batches(sorted_, _settle_sorted(length), "doc long, tf long, pos int, lo int, hi int", 100_000), "round0")
+    done = scratch.put(in_batches(sorted_, _settle_sorted(length, ("m",)), "doc long, tf long, pos int, lo int, hi int, m long", 100_000), "round0")
     scratch.release()
     spans = [done.where("lo >= 0").select("doc", "tf", "lo", "hi")]
-    by_doc = done.where("lo < 0").groupBy("doc", "tf").agg(F.collect_list("pos").alias("found"))
+    firsts = done.where("lo < 0").select("doc", "tf", "pos", "m")
+    large = scratch.put(firsts.groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("m"), "large")
     more = "at int, first int, last int, ctx binary"
-    left = in_batches(slim.select("doc", "tf", "text").join(by_doc, ["doc", "tf"]), _reaches(length, seed), f"doc long, tf long, pos int, {more}")
+
+    def reaches(rows: DataFrame) -> DataFrame:
+        by_doc = rows.groupBy("doc", "tf").agg(F.collect_list(F.struct("pos", "m")).alias("found"))
+        return in_batches(slim.select("doc", "tf", "text").join(by_doc, ["doc", "tf"]), _reaches(length, seed), f"doc long, tf long, pos int, {more}, m long")
+
+    any_large = large.limit(1).count() > 0
+    local = reaches(firsts.join(small(large, 200_000), "m", "left_anti") if any_large else firsts)
+    local = local.select("m", "doc", "tf", "pos", "at", "ctx").repartition("m").sortWithinPartitions("m")
+    spans.append(scratch.put(in_batches(local, _refine(length, seed), "doc long, tf long, lo int, hi int", 50_000), "local"))
+    scratch.release()
+    if not any_large:
+        return spans
+    left = reaches(firsts.join(small(large, 200_000), "m", "left_semi")).drop("m")
     for k in range(1, (length - seed).bit_length() + 1):
         rows = scratch.put(in_batches(left, _halve(length, seed), f"{ROW}, {more}", 50_000), f"halves{k}")
         cores = rows.groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") > hot).select(F.col("m").alias("m_"))

@@ -74,6 +74,16 @@ def test_repeated_substrings(spark, corpus, hot):
     assert as_dict(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeats(corpus)
 
 
+def test_repeated_substrings_are_dealt_once(spark, corpus, monkeypatch):
+    """Suffixes of cores of usual size go through all rounds in one task, in runs of whole cores; no round is written or dealt."""
+    names, put = [], common.Scratch.put
+    monkeypatch.setattr(common.Scratch, "put", lambda self, df, name, *more: names.append(name) or put(self, df, name, *more))
+    monkeypatch.setattr(substring_dedup, "LOCAL", 50)
+    out = substring_dedup.remove_repeats(spark, docs(spark, corpus).repartition(5))
+    assert as_dict(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeats(corpus)
+    assert names == ["round0", "large", "local", "spans"]
+
+
 def test_lines(spark, corpus):
     out = line_dedup.dedup_lines(spark, docs(spark, corpus))
     assert set(docs(spark, []).columns) <= set(out.columns)
