@@ -16,7 +16,9 @@ holds a sampled suffix, and equal strings hold it at the same place.
 * What is left, the first suffix of each reach of a core with several, is split into two halves of its windows,
   named and sorted again; so after the logarithm of ``length - seed`` rounds every core is one window.
 * Halves of one core's suffixes only meet each other. So these suffixes are dealt once, by core, with their bytes, and one
-  task takes them through all rounds. Only a core with more than ``HOT`` of them is sorted by Spark in every round.
+  task takes them through all rounds. Only a core with more than ``HOT`` of them is halved and sorted by Spark, and only until
+  its halves' cores have at most ``HOT`` left; these join the others. So Spark makes two rows of a suffix for each
+  round that its core stays above ``HOT``, not of each window that it shares.
 
 Sampled suffixes are sorted by Spark, which spills; a core with more than ``HOT`` suffixes is dealt out by reach in
 the rounds, since all its firsts stay anyway. Python holds an Arrow batch, a run of ``FLUSH`` sampled suffixes, or
@@ -255,17 +257,17 @@ def _halves(data: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarra
 
 
 def _refine(length: int, seed: int):
-    """Over rows (m, doc, tf, pos, at, ctx) sorted by m: the spans of all rounds; a core's rows are one task's."""
+    """Over rows (m, doc, tf, pos, at, first, last, ctx) sorted by m: the spans of all rounds to come; a core's rows are one task's."""
     room = length - seed
 
     def settle(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         data, offsets = buffers(b.column("ctx"))
         start, size = offsets[:-1], np.diff(offsets)
-        at, pos, doc, tf = (b.column(x).to_numpy().astype(np.int64) for x in ("at", "pos", "doc", "tf"))
+        at, pos, doc, tf, one, two = (b.column(x).to_numpy().astype(np.int64) for x in ("at", "pos", "doc", "tf", "first", "last"))
         rank = np.empty(b.num_rows, np.int64)
         rank[np.lexsort((pos, tf, doc))] = np.arange(b.num_rows)
-        row, one, two = np.arange(b.num_rows), np.zeros(b.num_rows, np.int64), np.full(b.num_rows, room)
+        row = np.arange(b.num_rows)
         gone, lows, highs = [], [], []
         while len(row):
             halves = [(row[own], *rest) for own, *rest in _halves(data, start[row], size[row], at[row], one, two, room, seed)]
@@ -367,35 +369,41 @@ def repeated_spans(slim: DataFrame, scratch: Scratch, length: int, seed: int, ho
     scratch.release()
     spans = [done.where("lo >= 0").select("doc", "tf", "lo", "hi")]
     firsts = done.where("lo < 0").select("doc", "tf", "pos", "m")
-    large = scratch.put(firsts.groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("m"), "large")
     more = "at int, first int, last int, ctx binary"
+    columns = ["m", "doc", "tf", "pos", "at", "first", "last", "ctx"]
 
     def reaches(rows: DataFrame) -> DataFrame:
         by_doc = rows.groupBy("doc", "tf").agg(F.collect_list(F.struct("pos", "m")).alias("found"))
-        return in_batches(slim.select("doc", "tf", "text").join(by_doc, ["doc", "tf"]), _reaches(length, seed), f"doc long, tf long, pos int, {more}, m long")
-
-    any_large = large.limit(1).count() > 0
-    local = reaches(firsts.join(small(large, 200_000), "m", "left_anti") if any_large else firsts)
-    local = local.select("m", "doc", "tf", "pos", "at", "ctx").repartition("m").sortWithinPartitions("m")
-    spans.append(scratch.put(in_batches(local, _refine(length, seed), "doc long, tf long, lo int, hi int", 50_000), "local"))
-    scratch.release()
-    if not any_large:
-        return spans
-    left = reaches(firsts.join(small(large, 200_000), "m", "left_semi")).drop("m")
+        made = in_batches(slim.select("doc", "tf", "text").join(by_doc, ["doc", "tf"]), _reaches(length, seed), f"doc long, tf long, pos int, {more}, m long")
+        return made.select(columns)
+
+    def by_size(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Rows of cores with at most ``hot`` of them, and those of larger cores if there are any."""
+        large = scratch.put(rows.groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("m"), "large")
+        if not large.limit(1).count():
+            return rows, None
+        large = small(large, 200_000)
+        return rows.join(large, "m", "left_anti"), rows.join(large, "m", "left_semi")
+
+    usual, left = by_size(firsts)
+    local, left = reaches(usual), None if left is None else reaches(left)
     for k in range(1, (length - seed).bit_length() + 1):
-        rows = scratch.put(in_batches(left, _halve(length, seed), f"{ROW}, {more}", 50_000), f"halves{k}")
+        if left is None:
+            break
+        rows = scratch.put(in_batches(left.drop("m"), _halve(length, seed), f"{ROW}, {more}", 50_000), f"halves{k}")
         cores = rows.groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") > hot).select(F.col("m").alias("m_"))
         dealt = rows.join(small(scratch.put(cores, "hot"), 200_000), F.col("m") == F.col("m_"), "left")
         dealt = dealt.withColumn("hot", F.col("m_").isNotNull()).drop("m_").withColumn("deal", F.when(F.col("hot"), F.col("c")))
         dealt = dealt.repartition("m", "deal").sortWithinPartitions(*KEYS).drop("deal")
-        done = scratch.put(in_batches(dealt, _settle_sorted(length, ("at", "first", "last", "ctx")), f"doc long, tf long, pos int, lo int, hi int, {more}", 50_000), f"round{k}")
+        done = scratch.put(in_batches(dealt, _settle_sorted(length, ("m", "at", "first", "last", "ctx")), f"doc long, tf long, pos int, lo int, hi int, m long, {more}", 50_000), f"round{k}")
         scratch.drop(rows)
+        scratch.release()
         spans.append(done.where("lo >= 0").select("doc", "tf", "lo", "hi"))
-        left = done.where("lo < 0").select("doc", "tf", "pos", "at", "first", "last", "ctx")
-        if k <= 2:  # later rounds are small
-            scratch.release()
-        if not left.limit(1).count():
-            break
+        usual, left = by_size(done.where("lo < 0").select(columns))
+        local = local.unionByName(usual.select(columns))
+    dealt = local.repartition("m").sortWithinPartitions("m")
+    spans.append(scratch.put(in_batches(dealt, _refine(length, seed), "doc long, tf long, lo int, hi int", 50_000), "local"))
+    scratch.release()
     return spans
 
 

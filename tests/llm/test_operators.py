@@ -84,6 +84,32 @@ def test_repeated_substrings_are_dealt_once(spark, corpus, monkeypatch):
     assert names == ["round0", "large", "local", "spans"]
 
 
+def test_repeated_substrings_leave_large_cores(spark, monkeypatch):
+    """Spark halves a core's suffixes only while they are more than ``hot``; what is left then is one task's again."""
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    phrase, rows = say(50), []
+    for i in range(30):  # 30 pairs around one phrase share 102 or 90 bytes
+        n = 26 if i % 2 else 20
+        left, right = say(n), say(n)
+        rows += [(2 * i + k, say(90) + left + phrase + right + say(90)) for k in (0, 1)]
+    made, put = {}, common.Scratch.put
+
+    def counted(self, df, name, *more):
+        made[name] = put(self, df, name, *more)
+        return made[name]
+
+    monkeypatch.setattr(common.Scratch, "put", counted)
+    monkeypatch.setattr(common.Scratch, "drop", lambda self, *tables: None)
+    out = substring_dedup.remove_repeats(spark, docs(spark, rows).repartition(3), hot=10)
+    want = brute.repeats(rows)
+    assert as_dict(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    assert sum(v[1] >= 102 for v in want.values()) == 15
+    suffixes = made["round0"].where("lo < 0").groupBy("m").count().where("count > 10").agg(F.sum("count")).first()[0]
+    assert [x for x in made if x.startswith("halves")] == ["halves1"]
+    assert made["halves1"].count() <= 2 * suffixes
+
+
 def test_lines(spark, corpus):
     out = line_dedup.dedup_lines(spark, docs(spark, corpus))
     assert set(docs(spark, []).columns) <= set(out.columns)
