@@ -8,10 +8,10 @@ triples, again and again; the README has its measured figures. This operator sam
 not by position modulo three, which keeps the property that matters: every string of ``length`` bytes
 holds a sampled suffix, and equal strings hold it at the same place.
 
-* Sample: the position whose seed (``seed`` bytes) hashes smallest in some window of ``length`` bytes, about one in 35.
-* A sampled suffix stands for the windows that start 0 to ``length - seed`` bytes before it, as far as its document
-  reaches. It is sorted by the name of its core (what all these windows share, at first the seed) and by the name
-  of its reach (all that they cover). A suffix whose reach occurs earlier is settled: its whole reach goes. One
+* Sample: the first position whose seed (``seed`` bytes) hashes smallest in some window of ``length`` bytes, about one in 35.
+* A sampled suffix stands for the windows that chose it. They start next to each other, 0 to ``length - seed`` bytes before it,
+  and no other suffix stands for them. It is sorted by the name of its core (what all windows share that could choose
+  it, at first the seed) and by the name of its reach (all that its own windows cover). A suffix whose reach occurs earlier is settled: its whole reach goes. One
   whose core occurs once is settled too. Equal suffixes of one task are settled before the sort.
 * What is left, the first suffix of each reach of a core with several, is split into two halves of its windows,
   named and sorted again; so after the logarithm of ``length - seed`` rounds every core is one window.
@@ -42,7 +42,8 @@ from .common import Scratch, in_batches, small
 from .vectext import buffers, chunks, eights, mix, ragged, slice_hash
 
 SEED, FLUSH, LOCAL, HOT, PART = 32, 1 << 18, 1 << 15, 4096, 1 << 18
-_FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Low bits of a chance that give way to the place, so that the smallest says where it stands: more than a part has bytes.
+_PLACE = np.uint64((1 << 24) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 KEYS = ["m", "c", "doc", "tf", "pos"]
 ROW = "m long, c long, doc long, tf long, pos int, lo int, size int, back int"
@@ -77,19 +78,13 @@ def sampled(data: np.ndarray, offsets: np.ndarray, length: int, seed: int):
     if n < length:
         return none, none, none, none, none, none
     h = _chances(data, seed)
+    least = _slide(np.minimum, (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), length - seed + 1)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    end = offsets[1:][row]
-    at = np.arange(len(h))
-    inside = at + seed <= end[: len(h)]
-    h[~inside] = _FAR
-    width = length - seed + 1
-    low = _slide(np.minimum, h, width)
-    low[np.arange(len(low)) + length > end[: len(low)]] = 0
-    pad = np.zeros(width - 1, np.uint64)
-    most = _slide(np.maximum, np.concatenate([pad, low, pad]), width)[: len(h)]
-    pos = np.flatnonzero((most == h) & inside)
-    r = row[pos]
-    lo, hi = np.maximum(pos - (length - seed), offsets[r]), np.minimum(pos + length, offsets[r + 1])
+    start = np.flatnonzero(np.arange(len(least)) + length <= offsets[1:][row[: len(least)]])
+    chosen = (least[start] & _PLACE).astype(np.int64)
+    new = np.flatnonzero(np.diff(chosen, prepend=-1))
+    pos, r = chosen[new], row[start[new]]
+    lo, hi = start[new], start[np.append(new[1:], len(start))[: len(new)] - 1] + length
     reach = mix(slice_hash(data, lo, hi) + (pos - lo).astype(np.uint64) * _ODD)
     return pos, r, slice_hash(data, pos, pos + seed).view(np.int64), reach.view(np.int64), lo, hi
 
@@ -215,7 +210,7 @@ def _settle_sorted(length: int, more: tuple[str, ...] = ()):
 
 
 def _reaches(length: int, seed: int):
-    """The bytes that the first round's remaining suffixes reach, and their windows: 0 to length - seed."""
+    """The bytes that the first round's remaining suffixes reach, which bound their own windows among 0 to length - seed."""
 
     def run(batches):
         for b in batches:
@@ -223,10 +218,10 @@ def _reaches(length: int, seed: int):
             at = b.column("found")
             n = np.diff(at.offsets.to_numpy())
             flat = at.flatten()
-            pos = flat.field("pos").to_numpy(zero_copy_only=False).astype(np.int64)
+            pos, back, size = (flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("pos", "back", "size"))
             owner = np.repeat(np.arange(b.num_rows), n)
-            lo = np.maximum(pos - (length - seed), 0)
-            hi = np.minimum(pos + length, (offsets[1:] - offsets[:-1])[owner])
+            lo = pos - back
+            hi = lo + size
             raw = data[ragged(offsets[owner] + lo, hi - lo)]
             ends = pa.py_buffer(np.concatenate(([0], np.cumsum(hi - lo))).astype(np.int32))
             reach = pa.Array.from_buffers(pa.binary(), len(pos), [None, ends, pa.py_buffer(raw)])
@@ -365,15 +360,15 @@ def repeated_spans(slim: DataFrame, scratch: Scratch, length: int, seed: int, ho
     """Tables (doc, tf, lo, hi) of spans to remove, overlapping ones too."""
     suffixes = in_batches(slim.where(F.octet_length("text") >= length), _sample(length, seed), ROW)
     sorted_ = suffixes.repartition("m").sortWithinPartitions(*KEYS)
-    done = scratch.put(in_batches(sorted_, _settle_sorted(length, ("m",)), "doc long, tf long, pos int, lo int, hi int, m long", 100_000), "round0")
+    done = scratch.put(in_batches(sorted_, _settle_sorted(length, ("m", "back", "size")), "doc long, tf long, pos int, lo int, hi int, m long, back int, size int", 100_000), "round0")
     scratch.release()
     spans = [done.where("lo >= 0").select("doc", "tf", "lo", "hi")]
-    firsts = done.where("lo < 0").select("doc", "tf", "pos", "m")
+    firsts = done.where("lo < 0").select("doc", "tf", "pos", "m", "back", "size")
     more = "at int, first int, last int, ctx binary"
     columns = ["m", "doc", "tf", "pos", "at", "first", "last", "ctx"]
 
     def reaches(rows: DataFrame) -> DataFrame:
-        by_doc = rows.groupBy("doc", "tf").agg(F.collect_list(F.struct("pos", "m")).alias("found"))
+        by_doc = rows.groupBy("doc", "tf").agg(F.collect_list(F.struct("pos", "m", "back", "size")).alias("found"))
         made = in_batches(slim.select("doc", "tf", "text").join(by_doc, ["doc", "tf"]), _reaches(length, seed), f"doc long, tf long, pos int, {more}, m long")
         return made.select(columns)
 

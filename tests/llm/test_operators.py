@@ -110,6 +110,22 @@ def test_repeated_substrings_leave_large_cores(spark, monkeypatch):
     assert made["halves1"].count() <= 2 * suffixes
 
 
+def test_each_window_has_one_suffix():
+    """Every window of a row is one sampled suffix's, at the same place wherever its bytes stand, also in runs of one word."""
+    rng = random.Random(2)
+    say = lambda n: "".join(rng.choice("ab cd") for _ in range(n))
+    rows = [say(rng.randint(0, 300)) + "the " * rng.randint(0, 120) + say(rng.randint(0, 300)) for _ in range(40)] + ["", "x" * 99, "x" * 100]
+    data, ends = np.frombuffer("".join(rows).encode(), np.uint8), np.cumsum([0, *map(len, rows)])
+    found, place = [], {}
+    for pos, row, _, _, lo, hi in zip(*(x.tolist() for x in substring_dedup.sampled(data, ends, 100, 32))):
+        assert ends[row] <= lo <= pos and hi <= ends[row + 1]
+        for w in range(lo, hi - 99):
+            found.append(w)
+            assert w <= pos <= w + 68
+            assert place.setdefault(data[w : w + 100].tobytes(), pos - w) == pos - w
+    assert found == [w for x, y in zip(ends[:-1], ends[1:]) for w in range(x, y - 99)]
+
+
 def test_lines(spark, corpus):
     out = line_dedup.dedup_lines(spark, docs(spark, corpus))
     assert set(docs(spark, []).columns) <= set(out.columns)
