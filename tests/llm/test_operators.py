@@ -488,6 +488,41 @@ def test_lm_scores_match_brute_force(spark, corpus, monkeypatch):
             assert (r["n_tokens"], r["n_seen"]) == (n, seen) and (r["score"] is None) == (score is None) and (score is None or abs(r["score"] - score) < 1e-9)
 
 
+def _shuffled_rows(spark):
+    """Rows that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._gateway.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_lm_scores_move_arrays_not_bigrams(spark):
+    """Bigrams travel as arrays: the rows that shuffles carry are far fewer than the tokens."""
+    rng = random.Random(4)
+    v = vocabulary(3000)
+    rows = [(i, " ".join(rng.choices(v, k=4000))) for i in range(150)]
+    df, before = docs(spark, rows), _shuffled_rows(spark)
+    out = lm_score.lm_scores(spark, df).collect()
+    assert sum(r["n_tokens"] for r in out) == 600_000 and _shuffled_rows(spark) - before < 100_000
+
+
+def test_lm_scores_of_copies(spark):
+    """Many equal rows are one document; their texts are read as one, whatever their number."""
+    rows = [(1, "a b c a b")] * 300 + [(None, "b c")] * 40 + [(None, "b c d"), (2, "a b"), (2, None), (2, None), (3, "")]
+    want = brute.lm([(d, t or "") for d, t in rows])
+    for slices in (1, 3):
+        out = lm_score.lm_scores(spark, docs(spark, rows), slices=slices).collect()
+        assert len(out) == len(rows)
+        got = sorted(((r["n_tokens"], r["n_seen"], r["score"] and round(r["score"], 9)) for r in out if r["doc_id"] == 1 or r["n_tokens"] == 3), key=str)
+        n, seen, score = want[1]
+        assert got.count((n, seen, round(score, 9))) == 300 and sum(r["doc_id"] == 2 and r["score"] is None for r in out) == 2
+
+
+def test_sorted_keys_that_share_their_first_bits():
+    keys = np.array([7, 6, 1 << 63, 7, 6, 5, (1 << 63) + 1, 1 << 63], np.uint64)
+    order, out, new = lm_score._sorted(keys)
+    assert order.tolist() == np.argsort(keys, kind="stable").tolist() and (out == keys[order]).all() and new.tolist() == [True, True, False, True, False, True, False, True]
+
+
 def test_quality_is_calibrated_and_blind(spark):
     """Scores depend on the text alone, and the network's odds fit what was held out."""
     rng, v = random.Random(14), vocabulary(200)
